@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapgraph.llm import packing, sharding
+from gapgraph.llm import packing, quality_rules, secret_scan, sharding
 from gapgraph.llm.common import table
 
 
@@ -14,9 +14,17 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op7_stratified_shards)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards)}
 ORACLES: dict[str, str] = {}
