@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapgraph.llm import packing, quality_rules, secret_scan, sharding
-from gapgraph.llm.common import table
+from gapgraph.llm import html_extract, packing, quality_rules, secret_scan, sharding, warc
+from gapgraph.llm.common import Stages, table
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +26,15 @@ def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards)}
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = f"{Stages(spark, 'warc').root}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), archives)
+    return warc.resolve(warc.read_archives(spark, archives, with_payload=False))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage)}
 ORACLES: dict[str, str] = {}
