@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapgraph.llm import html_extract, packing, quality_rules, secret_scan, sharding, warc
+from gapgraph.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sharding, warc
 from gapgraph.llm.common import Stages, table
 
 
@@ -36,5 +36,9 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_archives(spark, archives, with_payload=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage)}
+def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
 ORACLES: dict[str, str] = {}
