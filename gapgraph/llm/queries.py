@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapgraph.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sharding, warc
+from gapgraph.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sharding, substring_dedup, warc
 from gapgraph.llm.common import Stages, table
 
 
@@ -14,6 +14,10 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_de_bruijn_dedup, op3_line_frequency_rules, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
 ORACLES: dict[str, str] = {}
