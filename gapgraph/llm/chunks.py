@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of a chunk; a longer text is a chunk of its own.
+#: Bytes of a chunk's texts; a longer text is a chunk of its own.
 CHUNK_CHARS = 2 << 20
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
 BUCKET_BYTES = 8 << 20
@@ -31,42 +32,45 @@ def bucket_count(docs: DataFrame) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
-def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(chunk, content): each content is a compressed Arrow table (doc_id, text); null texts are empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, others: list[str] | None = None) -> DataFrame:
+    """(chunk, content): each content is a compressed Arrow table (doc_id, text, x0, x1, ...) with the ``others`` columns last."""
+    more = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others or [])]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
-        ids: list = []
-        texts: list[str] = []
+        parts: list[pa.RecordBatch] = []
         held = 0
 
         def row():
             sink = pa.BufferOutputStream()
-            content = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            content = pa.Table.from_batches(parts).combine_chunks()
             with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(content)
+                writer.write_table(content)
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "content"])
 
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py()
-                if ids and held + len(text) > chunk_chars:
+            sizes = [n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()]
+            start = 0
+            for i, n in enumerate(sizes):
+                if held and held + n > chunk_chars:
+                    if i > start:
+                        parts.append(batch.slice(start, i - start))
                     yield row()
-                    ids, texts, held, chunk = [], [], 0, chunk + 1
-                ids.append(doc_id)
-                texts.append(text)
-                held += len(text)
-        if ids:
+                    parts, held, start, chunk = [], 0, i, chunk + 1
+                held += n
+            if start < len(sizes):
+                parts.append(batch.slice(start))
+        if parts:
             yield row()
 
     return rows.mapInArrow(run, "chunk long, content binary")
 
 
 def open_chunk(content: bytes) -> tuple[list, list[bytes]]:
-    """(ids, UTF-8 texts) of a chunk."""
+    """(ids, UTF-8 texts) of a chunk; a null text is empty."""
     table = pa.ipc.open_stream(content).read_all()
-    return table.column(0).to_pylist(), table.column(1).cast(pa.binary()).to_pylist()
+    return table.column(0).to_pylist(), [t or b"" for t in table.column(1).cast(pa.binary()).to_pylist()]
 
 
 def with_replies(chunks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -106,12 +110,16 @@ def ask(chunks: DataFrame, question: Callable[[list, list[bytes], list[dict[int,
 
 
 def each_chunk(chunks: DataFrame, rows: Callable[[list, list[bytes], list[dict[int, bytes]]], pa.RecordBatch], schema: str) -> DataFrame:
-    """The rows that ``rows`` makes of each chunk."""
+    """The rows that ``rows`` makes of each chunk; a first column of the schema named chunk is added here."""
+    numbered = schema.startswith("chunk long")
 
     def run(batches):
         for batch in batches:
-            for _, ids, texts, answers in _rows(batch):
-                yield rows(ids, texts, answers)
+            for chunk, ids, texts, answers in _rows(batch):
+                made = rows(ids, texts, answers)
+                if numbered:
+                    made = pa.RecordBatch.from_arrays([pa.array(np.full(made.num_rows, chunk)), *made.columns], names=["chunk", *made.schema.names])
+                yield made
 
     return chunks.mapInArrow(run, schema)
 
