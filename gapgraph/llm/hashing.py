@@ -81,3 +81,37 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             out = out * BASE + hashes[j : j + n]
         return mix(out)
+
+
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """Mixed polynomial hash of each run of k values, by doubling (as ``windows``, with fewer steps for long runs)."""
+    with np.errstate(over="ignore"):
+        part, width = values.astype(U) + U(1), 1  # runs of a power of two
+        out, have = None, 0
+        while True:
+            if k & width:
+                out = part if out is None else out[: max(0, len(part) - have)] * U(pow(int(BASE), width, 1 << 64)) + part[have : have + len(out)]
+                have += width
+            if 2 * width > k:
+                break
+            part = part[:-width] * U(pow(int(BASE), width, 1 << 64)) + part[width:] if len(part) > width else part[:0]
+            width *= 2
+        n = max(0, len(values) - k + 1)
+        return mix(out[:n])
+
+
+def minhash(values: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """(len(starts), len(multipliers)) least products of the 32-bit values of each non-empty segment, block by block in cache."""
+    small = (values >> U(32)).astype(np.uint32)
+    out = np.zeros((len(starts), len(multipliers)), np.uint32)
+    ends = np.append(starts[1:], len(values))
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + block, "right")))
+        part = small[starts[a] : ends[b - 1]]
+        at = starts[a:b] - starts[a]
+        room = np.empty_like(part)
+        for j, m in enumerate(multipliers):
+            out[a:b, j] = np.minimum.reduceat(np.multiply(part, m, out=room), at)
+        a = b
+    return out

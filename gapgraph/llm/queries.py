@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapgraph.llm import decontaminate, html_extract, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, warc
+from gapgraph.llm import decontaminate, html_extract, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, warc
 from gapgraph.llm.common import Stages, table
 
 
@@ -30,6 +30,10 @@ def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_de_bruijn_dedup, op3_line_frequency_rules, op4_lsh_forest_join, op5_trigram_secret_scan, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_de_bruijn_dedup, op3_line_frequency_rules, op4_lsh_forest_join, op5_trigram_secret_scan, op6_fuzzy_line_dedup, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
 ORACLES: dict[str, str] = {}
