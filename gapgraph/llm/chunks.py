@@ -26,8 +26,9 @@ Parts = Iterator[tuple[int, bytes]]
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """A power of two by the planner's size of the input (from file sizes, no job)."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """A power of two by the planner's size of what the input reads (from file sizes, no job)."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     wanted = min(MAX_BUCKETS, max(MIN_BUCKETS, size // BUCKET_BYTES))
     return 1 << (wanted - 1).bit_length()
 
