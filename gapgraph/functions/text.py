@@ -97,30 +97,30 @@ def fill(template: str, **values: Column) -> Column:
     return out
 
 
-def register(spark) -> None:
-    """SQL functions: node_name(s), paragraphs(s), and the table function split_text(s)."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION node_name(s STRING) RETURNS STRING RETURN " + _sql(spark, node_name))
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION paragraphs(s STRING) RETURNS ARRAY<STRING> RETURN " + _sql(spark, paragraphs))
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION split_text(s STRING) RETURNS TABLE (chunk_ord INT, paragraph STRING) RETURN SELECT pos, col FROM posexplode(paragraphs(s))")
+#: The functions above in SQL, for register().
+_SPACE_ENDS = r"'(?U)^\\s+|\\s+$'"
 
 
-def _sql(spark, f) -> str:
-    return f"({f(F.col('s'))._jc.expr().sql()})" if hasattr(f(F.col("s"))._jc, "expr") else _by_name(f)
+def _node_name_sql() -> str:
+    marks = EDGE_PUNCTUATION.replace("\\", "\\\\").replace("'", "\\'")
+    return f"regexp_replace(btrim(regexp_replace(lower(s), {_SPACE_ENDS}, ''), '{marks}'), '(?U)\\\\s+', ' ')"
 
 
-def _by_name(f) -> str:
-    # the two functions in SQL, for sessions whose columns do not print as SQL
-    space = r"'(?U)^\\s+|\\s+$'"
-    if f is node_name:
-        marks = EDGE_PUNCTUATION.replace("\\", "\\\\").replace("'", "\\'")
-        return f"regexp_replace(btrim(regexp_replace(lower(s), {space}, ''), '{marks}'), '(?U)\\\\s+', ' ')"
-    piece = f"regexp_replace(regexp_replace(regexp_replace(p, '[ \\\\t]+', ' '), {space}, ''), '\\n', ' ')"
+def _paragraphs_sql() -> str:
+    piece = f"regexp_replace(regexp_replace(regexp_replace(p, '[ \\\\t]+', ' '), {_SPACE_ENDS}, ''), '\\n', ' ')"
     pack = (
         "filter(transform(aggregate(split(q, '(?U)(?<=[.!?])\\\\s+(?=[A-Z])', -1), struct(cast(array() as array<string>) as out, cast(null as string) as cur), "
         "(a, x) -> CASE WHEN a.cur IS NULL THEN struct(a.out as out, x as cur) "
         f"WHEN length(a.cur) + 1 + length(x) <= {MAX_PARAGRAPH} THEN struct(a.out as out, concat(a.cur, ' ', x) as cur) "
         "ELSE struct(concat(a.out, array(a.cur)) as out, x as cur) END, a -> concat(a.out, array(a.cur))), "
-        f"c -> regexp_replace(c, {space}, '')), c -> length(c) >= {MIN_PARAGRAPH})"
+        f"c -> regexp_replace(c, {_SPACE_ENDS}, '')), c -> length(c) >= {MIN_PARAGRAPH})"
     )
     pieces = f"filter(transform(split(regexp_replace(coalesce(s, ''), '\\r\\n?', '\\n'), '\\n{{2,}}', -1), p -> {piece}), p -> length(p) >= {MIN_PARAGRAPH})"
     return f"flatten(transform({pieces}, q -> CASE WHEN length(q) <= {MAX_PARAGRAPH} THEN array(q) ELSE {pack} END))"
+
+
+def register(spark) -> None:
+    """SQL functions node_name(s) and paragraphs(s), and the table function split_text(s)."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION node_name(s STRING) RETURNS STRING RETURN {_node_name_sql()}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION paragraphs(s STRING) RETURNS ARRAY<STRING> RETURN {_paragraphs_sql()}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION split_text(s STRING) RETURNS TABLE (chunk_ord INT, paragraph STRING) RETURN SELECT pos, col FROM posexplode(paragraphs(s))")
