@@ -123,4 +123,4 @@ def register(spark) -> None:
     """SQL functions node_name(s) and paragraphs(s), and the table function split_text(s)."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION node_name(s STRING) RETURNS STRING RETURN {_node_name_sql()}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION paragraphs(s STRING) RETURNS ARRAY<STRING> RETURN {_paragraphs_sql()}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION split_text(s STRING) RETURNS TABLE (chunk_ord INT, paragraph STRING) RETURN SELECT pos, col FROM posexplode(paragraphs(s))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION split_text(s STRING) RETURNS TABLE (chunk_ord INT, paragraph STRING) RETURN SELECT e.pos, e.col FROM (SELECT paragraphs(s) AS p) AS t, LATERAL posexplode(t.p) AS e")
