@@ -1,53 +1,28 @@
-"""Shared helpers: reading tables and writing intermediate tables to the cluster's shared folder."""
+"""Shared helpers of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A word is a run of characters other than space and the ASCII controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-#: The same set of separators for Java regular expressions in split().
+from gapgraph.stages import Stages, shared_dir
+
+__all__ = ["GAPS", "Stages", "shared_dir", "slices", "table"]
+
+#: Separators of words, the space and the ASCII controls 9 to 13, for Java's regular expressions.
 GAPS = r"[\x20\x09-\x0D]+"
+#: Rows that a Python function turns into Python objects at once.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: the session's spark.checkpoint.dir, or a temporary one where that is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="gapgraph-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
-class Stages:
-    """Intermediate tables of one query, written as Parquet under the shared folder.
-
-    A written table cuts lineage: a lost executor costs the tasks in flight, not the
-    stages before. Tables go when the JVM ends; ``drop`` removes one that is used up.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._fs(self.root).deleteOnExit(self._path(self.root))
-
-    def _path(self, where: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(where)
-
-    def _fs(self, where: str):
-        return self._path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs(self.root).delete(self._path(f"{self.root}/{name}"), True)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Record batches in short slices, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

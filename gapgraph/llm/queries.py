@@ -43,9 +43,10 @@ def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = f"{Stages(spark, 'warc').root}/archives"
+    stages = Stages(spark, "warc")
+    archives = f"{stages.root}/archives"
     warc.write_archives(table(spark, sf_dir, "pages"), archives)
-    return warc.resolve(warc.read_archives(spark, archives, with_payload=False))
+    return warc.resolve(stages.write(warc.read_archives(spark, archives, with_payload=False), "records"))
 
 
 def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

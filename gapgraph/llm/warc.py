@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapgraph.llm.common import slices
+
 #: Payloads of at least this many bytes are written once.
 REVISIT_BYTES = 100
 #: Records of one archive file.
@@ -19,6 +21,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_STEP = 1 << 14
 #: A gzip member of no bytes; it ends in a zero byte, as every member of under 16 MiB does.
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -113,9 +116,12 @@ def _members(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
     """(start, end, status, bytes) of each gzip member and each gap between valid members."""
     at, bad = 0, None
     while at < len(data):
-        z = zlib.decompressobj(31)
+        z, plain, read = zlib.decompressobj(31), [], at
         try:
-            plain = z.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
+            while read < len(data) and not z.eof:
+                # in steps, for what stands after the member is copied with each
+                plain.append(z.decompress(data[read : read + _STEP]))
+                read = min(read + _STEP, len(data))
             whole = z.eof
         except zlib.error:
             whole = False
@@ -123,8 +129,8 @@ def _members(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
             if bad is not None:
                 yield bad, at, "broken gzip member", b""
                 bad = None
-            end = len(data) - len(z.unused_data)
-            yield at, end, "ok", plain
+            end = read - len(z.unused_data)
+            yield at, end, "ok", b"".join(plain)
             at = end
         else:
             bad = at if bad is None else bad
@@ -172,7 +178,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     joined = rows.join(firsts.filter("n > 1").drop("n"), "digest", "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 refers = record_name(first) if first is not None and first != page_id else None
