@@ -218,9 +218,11 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     Each block of items is one pass that rewrites the texts; rows without a leak, null texts
     included, stay as they are.
     """
+    names, place = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any name may stand in docs
     for block in _blocks(items, item_id_col, item_text_col, block_chars):
-        docs = docs.mapInArrow(_cut(block, share, docs.columns.index(text_col), min_words), docs.schema)
-    return docs
+        plain = plain.mapInArrow(_cut(block, share, place, min_words), plain.schema)
+    return plain.toDF(*names)
 
 
 def _cut(block: list[tuple[int, str]], share: float, place: int, min_words: int):
