@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapgraph.llm import decontaminate, html_extract, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, warc
 from gapgraph.llm.common import Stages, table
+from gapgraph.llm.oracles import ORACLES  # noqa: F401  read by __spark_entry__
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,3 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_de_bruijn_dedup, op3_line_frequency_rules, op4_lsh_forest_join, op5_trigram_secret_scan, op6_fuzzy_line_dedup, op7_stratified_shards, op8_wrapper_induction, op9_warc_salvage, op10_pigeonhole_decontamination)}
-ORACLES: dict[str, str] = {}
