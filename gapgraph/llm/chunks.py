@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of a chunk's texts; a longer text is a chunk of its own.
 CHUNK_CHARS = 2 << 20
+#: Chunks are shuffled once or more; a level above the lowest is worth its time.
+ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
 BUCKET_BYTES = 8 << 20
 MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 20
@@ -46,7 +48,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int =
         def row():
             sink = pa.BufferOutputStream()
             content = pa.Table.from_batches(parts).combine_chunks()
-            with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as writer:
                 writer.write_table(content)
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "content"])
 
@@ -75,10 +77,13 @@ def open_chunk(content: bytes) -> tuple[list, list[bytes]]:
 
 
 def with_replies(chunks: DataFrame, *replies: DataFrame) -> DataFrame:
-    """Chunks joined with the answers they got: a column a0, a1, ... of array<struct<bucket, reply>> for each question."""
+    """Chunks joined with the answers they got: a column a0, a1, ... of array<struct<bucket, reply>> for each question.
+
+    Always a shuffle by chunk: answers grow with the input, so they are never broadcast.
+    """
     for i, reply in enumerate(replies):
         by_chunk = reply.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"a{i}"))
-        chunks = chunks.join(by_chunk, "chunk", "left")
+        chunks = chunks.join(by_chunk.hint("merge"), "chunk", "left")
     return chunks
 
 

@@ -83,26 +83,35 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
-def grams(values: np.ndarray, k: int) -> np.ndarray:
-    """Mixed polynomial hash of each run of k values, by doubling (as ``windows``, with fewer steps for long runs)."""
+def grams(values: np.ndarray, k: int, kind=U) -> np.ndarray:
+    """Mixed polynomial hash of each run of k values, by doubling (as ``windows``, with fewer steps for long runs).
+
+    kind is the width of the hash: 64 bits to tell runs apart, 32 for MinHash values.
+    """
+    base = int(BASE) >> (64 - np.iinfo(kind).bits) | 1
+    power = lambda w: kind(pow(base, w, 1 << np.iinfo(kind).bits))
     with np.errstate(over="ignore"):
-        part, width = values.astype(U) + U(1), 1  # runs of a power of two
+        part, width = values.astype(kind) + kind(1), 1  # runs of a power of two
         out, have = None, 0
         while True:
             if k & width:
-                out = part if out is None else out[: max(0, len(part) - have)] * U(pow(int(BASE), width, 1 << 64)) + part[have : have + len(out)]
+                out = part if out is None else out[: max(0, len(part) - have)] * power(width) + part[have : have + len(out)]
                 have += width
             if 2 * width > k:
                 break
-            part = part[:-width] * U(pow(int(BASE), width, 1 << 64)) + part[width:] if len(part) > width else part[:0]
+            part = part[:-width] * power(width) + part[width:] if len(part) > width else part[:0]
             width *= 2
-        n = max(0, len(values) - k + 1)
-        return mix(out[:n])
+        out = out[: max(0, len(values) - k + 1)]
+        if kind is U:
+            return mix(out)
+        out = (out ^ (out >> kind(16))) * kind(0x85EBCA6B)
+        out = (out ^ (out >> kind(13))) * kind(0xC2B2AE35)
+        return out ^ (out >> kind(16))
 
 
-def minhash(values: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+def minhash(values: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """(len(starts), len(multipliers)) least products of the 32-bit values of each non-empty segment, block by block in cache."""
-    small = (values >> U(32)).astype(np.uint32)
+    small = values if values.dtype == np.uint32 else (values >> U(32)).astype(np.uint32)
     out = np.zeros((len(starts), len(multipliers)), np.uint32)
     ends = np.append(starts[1:], len(values))
     a = 0

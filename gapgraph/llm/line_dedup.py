@@ -26,14 +26,24 @@ _NODES = "chunk long, row int, line int, doc_id long, item binary, content binar
 _LAST = np.iinfo(np.int64).max
 
 
-def normal_line(line: bytes) -> bytes:
-    """The line with single spaces for runs of ASCII white space and none at its ends."""
-    return b" ".join(line.split())
+#: Every byte as it is, but ASCII white space within a line as a space.
+_BLANKS = bytes(0x20 if b in (0x09, 0x0B, 0x0C, 0x0D) else b for b in range(256))
 
 
-def shingles(text: str, k: int) -> np.ndarray:
-    """Sorted distinct hashes of a line's runs of k characters."""
-    return np.unique(grams(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), k))
+def normal_lines(text: bytes) -> list[bytes]:
+    """The lines of a text, each with single spaces for runs of ASCII white space and none at its ends."""
+    text = text.translate(_BLANKS)
+    if b"  " in text:
+        return [b" ".join(line.split()) for line in text.split(b"\n")]
+    return [line.strip(b" ") for line in text.split(b"\n")]
+
+
+def shingles(lines: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line's runs of k characters."""
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    every = grams(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), k)
+    ends = np.cumsum([len(t) for t in texts])
+    return [np.unique(every[end - len(t) : end - k + 1]) for end, t in zip(ends.tolist(), texts, strict=True)]
 
 
 class _Lines:
@@ -45,12 +55,10 @@ class _Lines:
     def eligible(self, texts: list[bytes]):
         """(text, line, normal line) of each line that is long enough."""
         for i, text in enumerate(texts):
-            for j, line in enumerate(text.split(b"\n")):
-                if len(line) >= self.min_chars:
-                    norm = normal_line(line)
-                    # a UTF-8 continuation byte is no character of its own
-                    if len(norm) >= self.min_chars and (norm.isascii() or len(norm.decode("utf-8", "replace")) >= self.min_chars):
-                        yield i, j, norm
+            for j, norm in enumerate(normal_lines(text)):
+                # a character takes four bytes at most
+                if len(norm) >= self.min_chars and (len(norm) >= 4 * self.min_chars or len(norm.decode("utf-8", "replace")) >= self.min_chars):
+                    yield i, j, norm
 
     def distinct(self, ids, texts) -> tuple[list[bytes], list[tuple], np.ndarray]:
         """The chunk's distinct lines, the place of the first of each by id, and how often each is there."""
@@ -73,7 +81,7 @@ class _Lines:
         texts = [x.decode("utf-8", "replace") for x in lines]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        every = grams(codes, self.k)
+        every = grams(codes, self.k, np.uint32)
         ends = np.cumsum(sizes)
         inside = np.ones(len(every), bool)
         for back in range(1, self.k):  # runs across two lines
@@ -186,7 +194,7 @@ def _decisions(stages: Stages, chunks: DataFrame, lines: _Lines, threshold: floa
     full = nodes.filter("content is not null").groupBy("item").agg(F.first("content").alias("content"), F.first("marks").alias("marks"), F.first("groups").alias("groups"))
     items = stages.write(full.withColumn("weight", F.lit(1).cast("long")), "items")
     k = lines.k
-    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda c: shingles(c.decode("utf-8", "replace"), k)), "links")
+    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda lines: shingles(lines, k), stages, 4 * lines.buckets), "links")
     labels = components(stages, links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk", "row", "line")
     first = nodes.groupBy("item").agg(F.min(place).alias("place"))
@@ -195,7 +203,7 @@ def _decisions(stages: Stages, chunks: DataFrame, lines: _Lines, threshold: floa
     kept = stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept")
     keep = F.struct("item", F.col("place.chunk").alias("chunk"), F.col("place.row").alias("row"), F.col("place.line").alias("line"), F.col("place.doc_id").alias("doc_id"))
     by_chunk = nodes.select("chunk", "item").join(kept, "item").groupBy("chunk").agg(F.collect_list(keep).alias("keeps"))
-    return chunks.join(by_chunk, "chunk", "left")
+    return chunks.join(by_chunk.hint("merge"), "chunk", "left")
 
 
 def _setup(docs: DataFrame, id_col: str, text_col: str, others, threshold, shingle, min_chars, bands, rows, chunk_chars):
@@ -235,13 +243,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for b in range(batch.num_rows):
                 chunk, table, keeps = _of(batch, b)
-                ids, out = table.column(0).to_pylist(), []
+                row, line, other = [], [], []
                 for i, j, norm in lines.eligible(_texts(table)):
-                    keep = keeps.get(hashlib.blake2b(norm, digest_size=16).digest(), (chunk, i, j, ids[i]))
-                    out.append((ids[i], j, keep[3], keep[2], keep[:3] == (chunk, i, j)))
+                    keep = keeps.get(hashlib.blake2b(norm, digest_size=16).digest())
+                    if keep is not None and keep[:3] != (chunk, i, j):
+                        other.append((len(row), keep[3], keep[2]))
+                    row.append(i)
+                    line.append(j)
+                doc = table.column(0).take(pa.array(row, pa.int64())).combine_chunks()
+                at = np.array([x[0] for x in other], np.int64)
+                kept = np.ones(len(row), bool)
+                kept[at] = False
+                class_line = np.array(line, np.int32)
+                class_line[at] = [x[2] for x in other]
+                class_doc = pa.array([x[1] for x in other], pa.int64())
+                # rows that stay name themselves; the others' places come from the appended part
+                where = np.arange(len(row))
+                where[at] = len(row) + np.arange(len(at))
+                class_doc = pa.chunked_array([doc, class_doc]).combine_chunks().take(pa.array(where))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "line_no", "class_doc", "class_line", "kept"])
+                cols = [doc, line, class_doc, class_line, kept]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "line_no", "class_doc", "class_line", "kept"])
 
     return chunks.select("chunk", "content", "keeps").mapInArrow(run, "doc_id long, line_no int, class_doc long, class_line int, kept boolean")
 

@@ -23,7 +23,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    values = np.concatenate(sets)
+    values = np.concatenate(sets) if sets else np.zeros(0)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
@@ -43,58 +43,93 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_groups(members: DataFrame, items: DataFrame, threshold: float, decode: Callable[[bytes], np.ndarray], block: int = BLOCK) -> DataFrame:
+def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
+    """(group, item, blocks, whole): what is compared together, in how many blocks.
+
+    Groups with the same members are compared once. Groups that share items form a candidate component;
+    where sending each of its items to all blocks of the component is less than sending the members of
+    its groups one by one, the component is compared as a whole, else its groups are.
+    """
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(1 << 31))).alias("s"), F.min("item").alias("root"))
+    once = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("group", "root")).alias("g")).select("g.group", "g.root", "n")
+    kept = stages.write(members.join(once, "group"), "groups")
+    labels = stages.write(components(stages, kept.select("item", "root"), "candidates"), "candidates")
+    labelled = stages.write(kept.select("group", "item", "n").join(labels, "item"), "labelled-groups")
+    sent = labelled.groupBy("label").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    whole = stages.write(size.join(sent, "label").filter(F.col("size") * F.ceil(F.col("size") / block) <= F.col("sent")).select("label", "size"), "whole")
+    as_one = labels.join(whole, "label").select(F.xxhash64("label").alias("group"), "item", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.lit(True).alias("whole"))
+    apart = labelled.join(whole, "label", "left_anti").select("group", "item", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(False).alias("whole"))
+    return as_one.unionByName(apart)
+
+
+def link_groups(members: DataFrame, items: DataFrame, threshold: float, decode: Callable[[list[bytes]], list[np.ndarray]], stages: Stages, parts: int, block: int = BLOCK) -> DataFrame:
     """(item, root, links): items of a group that are linked, from the exact Jaccard of every pair in a group.
 
     members: distinct (group long, item binary); items: (item, weight long, content binary, marks
-    binary), marks being all groups of an item as 64-bit integers. ``decode`` gives the sorted
-    distinct values of a content. A row has the weights of the partners found in ``links``, or a
-    ``root`` that the item is connected to. No pair is emitted.
-
-    Groups with the same members are compared once, and a pair in several groups counts in the one of
-    least number only. A large group is cut into blocks; each pair of blocks is a task's work.
+    binary), marks being all groups of an item as 64-bit integers. ``decode`` gives the sorted distinct
+    values of contents. A row has the weights of the partners found in ``links``, and a ``root`` that
+    the item is connected to. No pair is emitted, and each pair that shares a group is compared in one
+    place: in the whole component, or in the least of its common groups. What is large is cut into
+    blocks, and two blocks are a task's work; what fits a block is dealt out to ``parts`` lots.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(1 << 31))).alias("s"))
-    kept = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min("group").alias("group")).select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = members.join(kept, "group").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    pairs = placed.select("group", "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("group", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        group, low, high = (table.column(c)[0].as_py() for c in ("group", "low", "high"))
-        names = table.column("item").to_pylist()
-        own = table.column("own").to_numpy()
-        weight = table.column("weight").to_numpy().astype(np.int64)
-        marks = np.stack([np.frombuffer(m, np.int64) for m in table.column("marks").to_pylist()])
-        n = len(names)
+    placed = _units(members, stages, block).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    pairs = placed.select("group", "whole", "blocks", "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lot = F.when(F.col("blocks") == 1, F.pmod("group", F.lit(parts)).cast("long")).otherwise(F.col("group"))
+    pairs = pairs.select(lot.alias("lot"), (F.col("blocks") == 1).alias("small"), "group", "whole", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(group: int, whole: bool, across: bool, own: np.ndarray, marks: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]):
+        """(member, root member, weight of partners) of the linked members of one unit."""
+        n = len(own)
+        if n == 2:
+            same = marks[0][marks[0] == marks[1]]
+            if len(same) and (whole or same.min() == group) and (not across or own[0] != own[1]):
+                both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+                if both >= threshold * (len(sets[0]) + len(sets[1]) - both) - 1e-9:
+                    yield 0, 0, int(weight[1])
+                    yield 1, 0, int(weight[0])
+            return
         first = np.full((n, n), _FAR)
         for mark in marks.T:
             np.minimum(first, np.where(mark[:, None] == mark[None, :], mark[:, None], _FAR), out=first)
-        mine = first == group
-        mine &= (own[:, None] != own[None, :]) if low != high else ~np.eye(n, dtype=bool)
-        out_item, out_root, out_links = [], [], []
-        if mine.any():
-            some = np.flatnonzero(mine.any(1))
-            sets = [decode(c) for c in table.column("content").take(pa.array(some)).to_pylist()]
-            both = _common(sets)
-            size = np.diag(both)
-            union = size[:, None] + size[None, :] - both
-            linked = mine[np.ix_(some, some)] & (both >= threshold * union - 1e-9)
-            links = linked @ weight[some]
-            label = np.arange(len(some))
-            while True:
-                least = np.minimum(label, np.where(linked, label[None, :], len(some)).min(1))
-                if (least == label).all():
-                    break
-                label = least
-            for i in np.flatnonzero(linked.any(1)):
-                out_item.append(names[some[i]])
-                out_root.append(names[some[label[i]]])
-                out_links.append(int(links[i]))
-        return pa.table({"item": pa.array(out_item, pa.binary()), "root": pa.array(out_root, pa.binary()), "links": pa.array(out_links, pa.int64())})
+        mine = first < _FAR if whole else first == group
+        mine &= (own[:, None] != own[None, :]) if across else ~np.eye(n, dtype=bool)
+        some = np.flatnonzero(mine.any(1))
+        if not len(some):
+            return
+        both = _common([sets[i] for i in some])
+        size = np.diag(both)
+        union = size[:, None] + size[None, :] - both
+        linked = mine[np.ix_(some, some)] & (both >= threshold * union - 1e-9)
+        if not linked.any():
+            return
+        links = linked @ weight[some]
+        label = np.arange(len(some))
+        while True:
+            least = np.minimum(label, np.where(linked, label[None, :], len(some)).min(1))
+            if (least == label).all():
+                break
+            label = least
+        for i in np.flatnonzero(linked.any(1)):
+            yield int(some[i]), int(some[label[i]]), int(links[i])
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("group").combine_chunks()
+        group, whole, own, low, high, weight = (table.column(c).to_numpy() for c in ("group", "whole", "own", "low", "high", "weight"))
+        marks = np.stack([np.frombuffer(m, np.int64) for m in table.column("marks").to_pylist()])
+        names, sets = table.column("item"), decode(table.column("content").to_pylist())
+        item, root, links = [], [], []
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                for i, r, n in compare(group[a], whole[a], low[a] != high[a], own[a:b], marks[a:b], weight[a:b], sets[a:b]):
+                    item.append(names[a + i].as_py())
+                    root.append(names[a + r].as_py())
+                    links.append(n)
+        return pa.table({"item": pa.array(item, pa.binary()), "root": pa.array(root, pa.binary()), "links": pa.array(links, pa.int64())})
 
     full = pairs.join(items.select("item", "weight", "content", "marks"), "item")
-    return full.groupBy("group", "low", "high").applyInArrow(verify, "item binary, root binary, links long")
+    return full.groupBy("lot", "small", "low", "high").applyInArrow(verify, "item binary, root binary, links long")
 
 
 def components(stages: Stages, links: DataFrame, name: str = "components") -> DataFrame:

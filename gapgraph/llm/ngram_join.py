@@ -43,15 +43,15 @@ class _Forest:
         rng = np.random.default_rng(SEED)
         self.multipliers = (rng.integers(0, 1 << 63, (trees, depth), np.uint64) << U(1)) | U(1)
 
-    def sets(self, texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
-        """Set id of each text; and of the texts that start a new non-empty set here: shingles, prefixes (n, trees) and number."""
+    def split(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+        """The sorted distinct shingle hashes of each text, and the digest that names the set."""
         words = Words(texts, self.powers)
         hashes = windows(words.hash, self.shingle)
         n = len(hashes)
         inside = words.text[:n] == words.text[self.shingle - 1 : self.shingle - 1 + n]
         hashes, text = hashes[inside], words.text[:n][inside]
         cut = np.searchsorted(text, np.arange(len(texts) + 1))
-        ids, shingles, new, seen = [], [], [], set()
+        sets, names = [], []
         for i in range(len(texts)):
             a, b = words.first_word[i], words.first_word[i + 1]
             if cut[i + 1] > cut[i]:
@@ -60,12 +60,19 @@ class _Forest:
                 own = windows(words.hash[a:b], int(b - a))
             else:
                 own = np.zeros(0, U)
-            item = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            ids.append(item)
-            if len(own) and item not in seen:
-                seen.add(item)
-                shingles.append(own)
-                new.append(i)
+            sets.append(own)
+            names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+        return sets, names
+
+    def sets(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The set's name of each text; and of the texts that start a new non-empty set here: prefixes (n, trees) and number."""
+        sets, names = self.split(texts)
+        first: dict[bytes, int] = {}
+        for i, name in enumerate(names):
+            if len(sets[i]):
+                first.setdefault(name, i)
+        new = list(first.values())
+        shingles = [sets[i] for i in new]
         prefixes = np.zeros((len(new), self.trees), U)
         if new:
             flat = np.concatenate(shingles)
@@ -76,11 +83,15 @@ class _Forest:
                     for d in range(self.depth):
                         key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * self.multipliers[t, d], starts))
                     prefixes[:, t] = key
-        return ids, shingles, prefixes, np.array(new, np.int64)
+        return names, prefixes, np.array(new, np.int64)
+
+    def shingles(self, contents: list[bytes]) -> list[np.ndarray]:
+        """The shingle sets of compressed texts."""
+        return self.split([unpack_text(c) for c in contents])[0]
 
     def prefixes(self, ids, texts, answers):
         """Each distinct prefix of a chunk, sorted as in a trie, with the least and greatest set that has it."""
-        names, _, prefix, new = self.sets(texts)
+        names, prefix, new = self.sets(texts)
         if not len(new):
             return
         of = np.array([int.from_bytes(names[i][:8], "little") for i in new], U)
@@ -108,8 +119,8 @@ class _Forest:
         return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([c.shape[1] for c in columns])[:-1])]
 
     def nodes(self, ids, texts, answers):
-        """A row per document; the first of each set with a shared prefix carries shingles and prefixes."""
-        names, shingles, prefix, new = self.sets(texts)
+        """A row per document; the first of each set with a shared prefix carries its text and prefixes."""
+        names, prefix, new = self.sets(texts)
         rows: list[list] = [[i, doc_id, names[i], None, None, None] for i, doc_id in enumerate(ids)]
         if len(new):
             distinct = np.unique(prefix)
@@ -118,13 +129,18 @@ class _Forest:
             shared = shared[np.searchsorted(distinct, prefix)].astype(bool)
             for k in np.flatnonzero(shared.any(1)):
                 marks = prefix[k].view(np.int64)
-                rows[new[k]][3:] = [shingles[k].tobytes(), marks.tobytes(), np.unique(marks[shared[k]]).tolist()]
+                rows[new[k]][3:] = [pack_text(texts[new[k]]), marks.tobytes(), np.unique(marks[shared[k]]).tolist()]
         types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["row", "doc_id", "item", "content", "marks", "groups"])
 
 
-def _shingles(content: bytes) -> np.ndarray:
-    return np.frombuffer(content, np.uint64)
+def pack_text(text: bytes) -> bytes:
+    """A text compressed, its length before it."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpack_text(content: bytes) -> bytes:
+    return pa.decompress(content[8:], int.from_bytes(content[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +151,7 @@ def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: floa
     full = nodes.filter("content is not null").groupBy("item").agg(F.first("content").alias("content"), F.first("marks").alias("marks"), F.first("groups").alias("groups"))
     items = stages.write(full.join(sets.select("item", "weight"), "item"), "items")
     members = items.select(F.explode("groups").alias("group"), "item")
-    links = stages.write(link_groups(members, items, threshold, _shingles), "links")
+    links = stages.write(link_groups(members, items, threshold, forest.shingles, stages, 4 * forest.buckets), "links")
     labels = components(stages, links)
     degree = links.groupBy("item").agg(F.sum("links").alias("links"))
     classed = sets.join(labels, "item", "left").join(degree, "item", "left")
@@ -159,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with one set are one item. An item's MinHash signatures are the keys of ``trees`` prefix
     tries; the matched prefix is shortened until a pair at the threshold meets in some tree with
     probability ``target``. Chunks learn from hash buckets which of their prefixes two sets share,
-    so only items of such groups travel with their shingles. Every pair of a group is compared exactly,
+    so only the texts of such items travel, compressed. Every pair of a group is compared exactly,
     block by block, and links become classes by distributed union-find.
 
     A text of fewer words than a shingle has is one shingle; texts without a word, null ones included,
@@ -191,4 +207,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns.insert(where, table.column(1))
                 yield from pa.table(columns, names=schema.names).to_batches()
 
-    return chunks.join(kept, "chunk").select("content", "rows").mapInArrow(run, schema)
+    return chunks.join(kept.hint("merge"), "chunk").select("content", "rows").mapInArrow(run, schema)

@@ -56,6 +56,12 @@ def _twice(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values[np.searchsorted(group, np.arange(n))] if n else values, high > low
 
 
+def _count(size: int, bits: int) -> int:
+    """How many items of ``bits`` bits, each with a flag of one bit before them all, take ``size`` bytes."""
+    n = 8 * size // (bits + 1)
+    return next(x for x in (n, n - 1, n + 1) if x >= 0 and (x + 7) // 8 + bits // 8 * x == size)
+
+
 def _lookup(distinct: np.ndarray, replies: dict[int, bytes], buckets: int, kind) -> np.ndarray:
     """The replies for a chunk's sorted distinct hashes, in their order."""
     _, numbers = by_bucket(distinct, buckets)
@@ -83,8 +89,7 @@ class _Dedup:
 
     @staticmethod
     def answer_seeds(parts):
-        sizes = [(8 * len(p)) // 41 for p in parts]  # 40 bits and a flag each
-        sizes = [next(n for n in (size - 1, size, size + 1) if n >= 0 and (n + 7) // 8 + 5 * n == len(p)) for size, p in zip(sizes, parts, strict=True)]
+        sizes = [_count(len(p), 40) for p in parts]
         values, flags = [], []
         for n, p in zip(sizes, parts, strict=True):
             head = (n + 7) // 8
@@ -135,12 +140,13 @@ class _Dedup:
             sides.append(np.where(differs, MANY, one))
         cuts, numbers = by_bucket(distinct, self.buckets)
         for a, b, number in zip(cuts[:-1], cuts[1:], numbers, strict=True):
-            yield int(number), np.stack([distinct[a:b], sides[0][a:b], sides[1][a:b], twice[a:b].astype(np.uint64)]).tobytes()
+            yield int(number), np.packbits(twice[a:b]).tobytes() + np.stack([distinct[a:b], sides[0][a:b], sides[1][a:b]]).tobytes()
 
     @staticmethod
     def answer_edges(parts):
-        columns = [np.frombuffer(p, np.uint64).reshape(4, -1) for p in parts]
-        edge, left, right, twice = np.concatenate(columns, axis=1)
+        sizes = [_count(len(p), 192) for p in parts]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, (n + 7) // 8), count=n) for n, p in zip(sizes, parts, strict=True)])
+        edge, left, right = np.concatenate([np.frombuffer(p[(n + 7) // 8 :], np.uint64).reshape(3, n) for n, p in zip(sizes, parts, strict=True)], axis=1)
         order = np.argsort(edge, kind="stable")
         group = groups_of(edge[order])
         first = np.searchsorted(group, np.arange(group[-1] + 1))
@@ -151,7 +157,7 @@ class _Dedup:
             flags |= (bit * (same & (one != MANY) & (one != NONE))).astype(np.uint8)
         out = np.zeros(len(edge), np.uint8)
         out[order] = flags[group]
-        return [x.tobytes() for x in np.split(out, np.cumsum([c.shape[1] for c in columns])[:-1])]
+        return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
     def _paths(self, texts, answers):
         """(text, first edge, last edge) of each maximal nonbranching path of repeated edges, as word offsets in its text."""
