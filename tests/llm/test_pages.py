@@ -68,6 +68,13 @@ def test_odd_pages(spark):
     assert extract(pages(spark, [])) == {}
 
 
+def test_roles_and_names():
+    page = """<body><div class="siteHeader">site</div><div class=header>top</div><main><p>crumb</p><article><div class="article-header"><h1>Head</h1></div>
+    <p>Text<button>Buy</button></p><div style="display: none">secret</div><p hidden>gone</p><div class="newsletter-box">join</div><select><option>x</select></article></main></body>"""
+    assert html_extract.main_text(page, None, set()) == "Head\n\nText"
+    assert html_extract.main_text("<header>h</header><main><p>only main</p></main><p>other</p>", None, set()) == "only main"
+
+
 def test_deep_page():
     assert "x" in html_extract.main_text("<p>x" + "<i>" * 5000, None, set())
 
