@@ -23,7 +23,6 @@ BAND_ROWS = 4
 SEED = 20240301
 
 _NODES = "chunk long, row int, line int, doc_id long, item binary, content binary, marks binary, groups array<long>"
-_LAST = np.iinfo(np.int64).max
 
 
 #: Every byte as it is, but ASCII white space within a line as a space.
@@ -60,21 +59,15 @@ class _Lines:
                 if len(norm) >= self.min_chars and (len(norm) >= 4 * self.min_chars or len(norm.decode("utf-8", "replace")) >= self.min_chars):
                     yield i, j, norm
 
-    def distinct(self, ids, texts) -> tuple[list[bytes], list[tuple], np.ndarray]:
-        """The chunk's distinct lines, the place of the first of each by id, and how often each is there."""
+    def distinct(self, texts) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The chunk's distinct lines; and of each line text, number, and which distinct line it is."""
         found: dict[bytes, int] = {}
-        places: list[tuple] = []
-        counts: list[int] = []
+        row, line, which = [], [], []
         for i, j, norm in self.eligible(texts):
-            place = (_LAST if ids[i] is None else ids[i], i, j)
-            k = found.setdefault(norm, len(places))
-            if k == len(places):
-                places.append(place)
-                counts.append(1)
-            else:
-                counts[k] += 1
-                places[k] = min(place, places[k])
-        return list(found), places, np.array(counts, np.int64)
+            row.append(i)
+            line.append(j)
+            which.append(found.setdefault(norm, len(found)))
+        return list(found), (np.array(row, np.int32), np.array(line, np.int32), np.array(which, np.int64))
 
     def band_keys(self, lines: list[bytes]) -> np.ndarray:
         """(lines, bands) keys, the band's number mixed in."""
@@ -116,7 +109,7 @@ class _Lines:
         return flat[first], owner[first], several
 
     def ask_bands(self, ids, texts, answers):
-        lines, _, counts = self.distinct(ids, texts)
+        lines, _ = self.distinct(texts)
         if not lines:
             return
         names = self.names(lines)
@@ -166,10 +159,15 @@ class _Lines:
         return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
     def nodes(self, ids, texts, answers):
-        """A row per distinct line of a chunk that another line resembles or that is there again."""
-        lines, places, counts = self.distinct(ids, texts)
-        rows = []
-        if lines:
+        """A row per line; item names the line if another resembles it or it is there again, else it is null.
+
+        The first row of such a line in a chunk carries what comparing it needs.
+        """
+        lines, (row, line, which) = self.distinct(texts)
+        n = len(lines)
+        item = pa.nulls(len(row), pa.binary())
+        content, marks, groups = ([None] * len(row) for _ in range(3))
+        if n:
             names = self.names(lines)
             keys = self.band_keys(lines)
             distinct = np.unique(keys)
@@ -177,50 +175,34 @@ class _Lines:
             number = np.array([int.from_bytes(x[:8], "big") for x in names], U)
             exact = np.sort(number)
             again = self._bits(exact, answers[0], self.buckets)[np.searchsorted(exact, number)]
-            for k in np.flatnonzero(shared.any(1) | again | (counts > 1)):
-                doc, row, line = places[k]
-                some = shared[k].any()
-                marks = keys[k].view(np.int64)
-                rows.append((row, line, None if doc == _LAST else doc, names[k], lines[k] if some else None, marks.tobytes() if some else None, np.unique(marks[shared[k]]).tolist() if some else None))
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "line", "doc_id", "item", "content", "marks", "groups"])
-
-
-def _decisions(stages: Stages, chunks: DataFrame, lines: _Lines, threshold: float) -> DataFrame:
-    """Chunks joined with what becomes of their repeated lines: keeps array<struct<item, chunk, row, line, doc_id>>, the line that stays for each."""
+            flagged = shared.any(1) | again | (np.bincount(which, minlength=n) > 1)
+            item = pa.array(names, pa.binary()).take(pa.array(np.where(flagged[which], which, -1), mask=~flagged[which]))
+            first = np.unique(which, return_index=True)[1]
+            for k in np.flatnonzero(shared.any(1)):
+                at, own = first[k], keys[k].view(np.int64)
+                content[at], marks[at], groups[at] = lines[k], own.tobytes(), np.unique(own[shared[k]]).tolist()
+        doc = pa.array(ids, pa.int64()).take(pa.array(row, pa.int64()))
+        columns = [pa.array(row), pa.array(line), doc, item, pa.array(content, pa.binary()), pa.array(marks, pa.binary()), pa.array(groups, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "line", "doc_id", "item", "content", "marks", "groups"])
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: float, shingle: int, min_chars: int, bands: int, rows: int, chunk_chars: int):
+    """(lines, chunks, nodes, kept): nodes have a row per line, kept (item, place) the line that stays for each named item."""
+    stages = Stages(docs.sparkSession, "line-dedup")
+    lines = _Lines(shingle, min_chars, bands, rows, bucket_count(docs))
+    chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars, others), "chunks")
     found = stages.write(ask(chunks, lines.ask_bands, lines.answer_bands), "bands")
     nodes = stages.write(each_chunk(with_replies(chunks, found), lines.nodes, _NODES), "nodes")
     full = nodes.filter("content is not null").groupBy("item").agg(F.first("content").alias("content"), F.first("marks").alias("marks"), F.first("groups").alias("groups"))
     items = stages.write(full.withColumn("weight", F.lit(1).cast("long")), "items")
     k = lines.k
-    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda lines: shingles(lines, k), stages, 4 * lines.buckets), "links")
+    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda some: shingles(some, k), stages, 4 * lines.buckets), "links")
     labels = components(stages, links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk", "row", "line")
-    first = nodes.groupBy("item").agg(F.min(place).alias("place"))
+    first = nodes.filter("item is not null").groupBy("item").agg(F.min(place).alias("place"))
     labelled = stages.write(first.join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "place"), "labelled")
     best = stages.write(labelled.groupBy("label").agg(F.min("place").alias("place")), "best")
-    kept = stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept")
-    keep = F.struct("item", F.col("place.chunk").alias("chunk"), F.col("place.row").alias("row"), F.col("place.line").alias("line"), F.col("place.doc_id").alias("doc_id"))
-    by_chunk = nodes.select("chunk", "item").join(kept, "item").groupBy("chunk").agg(F.collect_list(keep).alias("keeps"))
-    return chunks.join(by_chunk.hint("merge"), "chunk", "left")
-
-
-def _setup(docs: DataFrame, id_col: str, text_col: str, others, threshold, shingle, min_chars, bands, rows, chunk_chars):
-    stages = Stages(docs.sparkSession, "line-dedup")
-    lines = _Lines(shingle, min_chars, bands, rows, bucket_count(docs))
-    chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars, others), "chunks")
-    return lines, _decisions(stages, chunks, lines, threshold)
-
-
-def _of(batch: pa.RecordBatch, i: int):
-    """Chunk number, its table, and the line that stays for each repeated line of it."""
-    chunk, content, keeps = (batch.column(c)[i].as_py() for c in ("chunk", "content", "keeps"))
-    return chunk, pa.ipc.open_stream(content).read_all(), {k["item"]: (k["chunk"], k["row"], k["line"], k["doc_id"]) for k in keeps or ()}
-
-
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t or b"" for t in table.column(1).cast(pa.binary()).to_pylist()]
+    return lines, chunks, nodes, stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -237,35 +219,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text has no lines; a null id stands behind all others; repeated rows are documents of their
     own; an empty table gives no rows; other columns are not read.
     """
-    lines, chunks = _setup(docs, id_col, text_col, None, threshold, shingle, min_chars, bands, rows, chunk_chars)
-
-    def run(batches):
-        for batch in batches:
-            for b in range(batch.num_rows):
-                chunk, table, keeps = _of(batch, b)
-                row, line, other = [], [], []
-                for i, j, norm in lines.eligible(_texts(table)):
-                    keep = keeps.get(hashlib.blake2b(norm, digest_size=16).digest())
-                    if keep is not None and keep[:3] != (chunk, i, j):
-                        other.append((len(row), keep[3], keep[2]))
-                    row.append(i)
-                    line.append(j)
-                doc = table.column(0).take(pa.array(row, pa.int64())).combine_chunks()
-                at = np.array([x[0] for x in other], np.int64)
-                kept = np.ones(len(row), bool)
-                kept[at] = False
-                class_line = np.array(line, np.int32)
-                class_line[at] = [x[2] for x in other]
-                class_doc = pa.array([x[1] for x in other], pa.int64())
-                # rows that stay name themselves; the others' places come from the appended part
-                where = np.arange(len(row))
-                where[at] = len(row) + np.arange(len(at))
-                class_doc = pa.chunked_array([doc, class_doc]).combine_chunks().take(pa.array(where))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-                cols = [doc, line, class_doc, class_line, kept]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "line_no", "class_doc", "class_line", "kept"])
-
-    return chunks.select("chunk", "content", "keeps").mapInArrow(run, "doc_id long, line_no int, class_doc long, class_line int, kept boolean")
+    _, _, nodes, kept = _decisions(docs, id_col, text_col, None, threshold, shingle, min_chars, bands, rows, chunk_chars)
+    alone = nodes.filter("item is null").select("doc_id", F.col("line").alias("line_no"), F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), F.lit(True).alias("kept"))
+    named = nodes.filter("item is not null").select("chunk", "row", "line", "doc_id", "item").join(kept, "item")
+    stays = (F.col("chunk") == F.col("place.chunk")) & (F.col("row") == F.col("place.row")) & (F.col("line") == F.col("place.line"))
+    return alone.unionByName(named.select("doc_id", F.col("line").alias("line_no"), F.col("place.doc_id").alias("class_doc"), F.col("place.line").alias("class_line"), stays.alias("kept")))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -274,25 +232,25 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document that lost lines and has no word left goes; others, null texts included, stay.
     """
     others = [c for c in docs.columns if c != text_col]
-    lines, chunks = _setup(docs, id_col, text_col, others, threshold, shingle, min_chars, bands, rows, chunk_chars)
+    lines, chunks, nodes, kept = _decisions(docs, id_col, text_col, others, threshold, shingle, min_chars, bands, rows, chunk_chars)
     schema, where = docs.schema, docs.columns.index(text_col)
+    place = F.col("place")
+    goes = ~((F.col("chunk") == place["chunk"]) & (F.col("row") == place["row"]) & (F.col("line") == place["line"]))
+    gone = nodes.filter("item is not null").select("chunk", "row", "line", "item").join(kept, "item").filter(goes).select("chunk", "row", "line")
+    by_chunk = gone.groupBy("chunk").agg(F.collect_list(F.struct("row", "line")).alias("gone"))
 
     def run(batches):
         for batch in batches:
-            for b in range(batch.num_rows):
-                chunk, table, keeps = _of(batch, b)
-                texts = _texts(table)
-                gone: dict[int, set[int]] = {}
-                for i, j, norm in lines.eligible(texts):
-                    keep = keeps.get(hashlib.blake2b(norm, digest_size=16).digest())
-                    if keep is not None and keep[:3] != (chunk, i, j):
-                        gone.setdefault(i, set()).add(j)
-                column, stay = table.column(1).to_pylist(), [True] * len(texts)
+            for content, gone_ in zip(batch.column("content"), batch.column("gone"), strict=True):
+                table, gone = pa.ipc.open_stream(content.as_py()).read_all(), {}
+                for x in gone_.as_py() or ():
+                    gone.setdefault(x["row"], set()).add(x["line"])
+                column, stay = table.column(1).to_pylist(), [True] * table.num_rows
                 for i, some in gone.items():
-                    left = b"\n".join(x for j, x in enumerate(texts[i].split(b"\n")) if j not in some)
-                    column[i], stay[i] = left.decode(), bool(left.strip())
+                    left = "\n".join(x for j, x in enumerate(column[i].split("\n")) if j not in some)
+                    column[i], stay[i] = left, bool(left.strip(" \t\n\v\f\r"))
                 columns = table.columns[2:]
                 columns.insert(where, pa.array(column, pa.string()))
                 yield from pa.table(columns, names=schema.names).filter(pa.array(stay)).to_batches()
 
-    return chunks.select("chunk", "content", "keeps").mapInArrow(run, schema)
+    return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema)

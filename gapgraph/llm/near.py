@@ -50,15 +50,19 @@ def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
     where sending each of its items to all blocks of the component is less than sending the members of
     its groups one by one, the component is compared as a whole, else its groups are.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(1 << 31))).alias("s"), F.min("item").alias("root"))
-    once = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("group", "root")).alias("g")).select("g.group", "g.root", "n")
-    kept = stages.write(members.join(once, "group"), "groups")
-    labels = stages.write(components(stages, kept.select("item", "root"), "candidates"), "candidates")
-    labelled = stages.write(kept.select("group", "item", "n").join(labels, "item"), "labelled-groups")
-    sent = labelled.groupBy("label").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    whole = stages.write(size.join(sent, "label").filter(F.col("size") * F.ceil(F.col("size") / block) <= F.col("sent")).select("label", "size"), "whole")
-    as_one = labels.join(whole, "label").select(F.xxhash64("label").alias("group"), "item", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.lit(True).alias("whole"))
+    # components are of 64-bit hashes: a clash joins two components, and no comparison is lost by that
+    hashed = members.withColumn("h", F.xxhash64("item"))
+    sizes = hashed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(1 << 31))).alias("s"), F.min("h").alias("root"))
+    once = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min("group").alias("group"), F.min("root").alias("root")).select("group", "root", "n")
+    kept = stages.write(hashed.join(once, "group"), "groups")
+    labels = components(stages, kept.select(F.col("h").alias("item"), "root"), "candidates")
+    labels = stages.write(labels.select(F.col("item").alias("h"), "label"), "candidates")
+    labelled = stages.write(kept.select("group", "item", "n", "h").join(labels, "h").drop("h"), "labelled-groups")
+    per_label = labelled.groupBy("label").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
+    size = labelled.select("label", "item").distinct()
+    sizes = size.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    whole = stages.write(sizes.join(per_label, "label").filter(F.col("size") * F.ceil(F.col("size") / block) <= F.col("sent")).select("label", "size"), "whole")
+    as_one = size.join(whole, "label").select(F.col("label").alias("group"), "item", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.lit(True).alias("whole"))
     apart = labelled.join(whole, "label", "left_anti").select("group", "item", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(False).alias("whole"))
     return as_one.unionByName(apart)
 
