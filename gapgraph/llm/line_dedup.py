@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
 from gapgraph.llm.common import Stages
 from gapgraph.llm.hashing import U, grams, minhash, mix
-from gapgraph.llm.near import components, link_groups
+from gapgraph.llm.near import WORK_TABLES, components, link_groups
 
 #: Characters of a shingle, and of the shortest line that is compared; shorter lines always stay.
 SHINGLE_CHARS = 8
@@ -197,6 +197,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
     items = stages.write(full.withColumn("weight", F.lit(1).cast("long")), "items")
     k = lines.k
     links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda some: shingles(some, k), stages, 4 * lines.buckets), "links")
+    stages.drop(*WORK_TABLES)
     labels = components(stages, links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk", "row", "line")
     first = nodes.filter("item is not null").groupBy("item").agg(F.min(place).alias("place"))

@@ -14,6 +14,8 @@ from gapgraph.llm.common import Stages
 BLOCK = 512
 #: Columns of an incidence matrix made at once.
 COLUMNS = 2048
+#: Tables of link_groups() that are used up once its result is written.
+WORK_TABLES = ("groups", "candidates", "labelled-groups", "whole")
 _FAR = np.iinfo(np.int64).max
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
 from gapgraph.llm.common import Stages
 from gapgraph.llm.hashing import U, Powers, Words, mix, windows
-from gapgraph.llm.near import components, link_groups
+from gapgraph.llm.near import WORK_TABLES, components, link_groups
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -152,6 +152,7 @@ def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: floa
     items = stages.write(full.join(sets.select("item", "weight"), "item"), "items")
     members = items.select(F.explode("groups").alias("group"), "item")
     links = stages.write(link_groups(members, items, threshold, forest.shingles, stages, 4 * forest.buckets), "links")
+    stages.drop(*WORK_TABLES)
     labels = components(stages, links)
     degree = links.groupBy("item").agg(F.sum("links").alias("links"))
     classed = sets.join(labels, "item", "left").join(degree, "item", "left")
