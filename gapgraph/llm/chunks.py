@@ -21,7 +21,7 @@ CHUNK_CHARS = 2 << 20
 #: Chunks are shuffled once or more; a level above the lowest is worth its time.
 ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
 MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 20
 
 Parts = Iterator[tuple[int, bytes]]
