@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from gapgraph.llm import packing
@@ -80,3 +81,23 @@ def test_long_text_in_parts(tokenizer):
     text = ("It's a test, isn't it?  Numbers 123 and   spaces\n\n and <|endoftext|> ünïcode. " * 50) + "x" * 500
     encoder = packing.load_encoder(RANKS, P.PATTERN)
     assert packing.encode(encoder, text, 97).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(1, 3000), max_size=60), st.sampled_from([600, 5000, 1 << 19]))
+@settings(max_examples=60, deadline=None)
+def test_packer(sizes, pool):
+    packer = packing.Packer(0, pool_tokens=pool, step_tokens=4096)
+    found = []
+    for k, n in enumerate(sizes):
+        packer.add(np.arange(n, dtype="<u4"), k)
+        if packer.held >= pool:
+            found += packer.pack()
+    found += packer.pack(last=True)
+    seen = defaultdict(list)
+    for _, tier, _, window in found:
+        assert sum(len(ids) for ids, *_ in window) == tier and tier & (tier - 1) == 0
+        for ids, doc, start, total in window:
+            assert total == sizes[doc] and ids[0] == start
+            seen[doc] += ids.tolist()
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in enumerate(sizes)}
+    assert len({s for s, *_ in found}) == len(found)
