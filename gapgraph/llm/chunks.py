@@ -23,16 +23,21 @@ ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 20
+#: The planner gives what it knows nothing of a size beyond any input.
+UNKNOWN_BYTES, UNKNOWN_BUCKETS = 1 << 60, 1 << 10
 
 Parts = Iterator[tuple[int, bytes]]
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """A power of two by the planner's size of what the input reads (from file sizes, no job)."""
+    """A power of two by the planner's size of what the input reads (from file sizes, no job).
+
+    An input of unknown size (one made of an RDD) gets UNKNOWN_BUCKETS.
+    """
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    wanted = min(MAX_BUCKETS, max(MIN_BUCKETS, size // BUCKET_BYTES))
-    return 1 << (wanted - 1).bit_length()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    wanted = sum(sizes) // BUCKET_BYTES if max(sizes, default=0) < UNKNOWN_BYTES else UNKNOWN_BUCKETS
+    return 1 << (min(MAX_BUCKETS, max(MIN_BUCKETS, wanted)) - 1).bit_length()
 
 
 def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, others: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from gapgraph.llm import line_dedup, near, ngram_join, substring_dedup
+from gapgraph.llm import chunks, line_dedup, near, ngram_join, substring_dedup
 from gapgraph.llm.common import Stages
 
 
@@ -138,3 +138,9 @@ def test_drop_lines(docs, rows):
     got = line_dedup.drop_repeated_lines(docs).select("doc_id", "text").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == brute.drop_lines(rows)
     assert docs.count() == len(rows) and not docs.filter(F.col("text").isNull()).count()
+
+
+def test_bucket_count(spark, docs):
+    assert chunks.bucket_count(docs) == chunks.MIN_BUCKETS == chunks.bucket_count(spark.range(3))
+    assert chunks.bucket_count(spark.createDataFrame([(1, "x")], "doc_id long, text string")) in (chunks.MIN_BUCKETS, chunks.UNKNOWN_BUCKETS)
+    assert chunks.bucket_count(spark.createDataFrame(spark.sparkContext.parallelize([(1, "x")]), "doc_id long, text string")) == chunks.UNKNOWN_BUCKETS
