@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar lines one stays; documents of which nothing is left go."""
-    return _measured(line_dedup.drop_repeated_lines(docs))
+    return _measured(line_dedup.drop_repeated_lines(docs, min_chars=line_dedup.EVERY_LINE))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,9 +13,12 @@ from gapgraph.llm.common import Stages
 from gapgraph.llm.hashing import U, grams, minhash, mix
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
 
-#: Characters of a shingle, and of the shortest line that is compared; shorter lines always stay.
+#: Characters of a shingle; a shorter line is one shingle of its own.
 SHINGLE_CHARS = 8
+#: Characters of the shortest line that is compared, if a caller names no other; shorter lines always stay.
 MIN_CHARS = 20
+#: ``min_chars`` that leaves no line out but empty ones; the query and the pipeline take it.
+EVERY_LINE = 1
 THRESHOLD = 0.8
 #: Bands and MinHash values of each: a pair at the threshold meets with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS = 12
@@ -37,9 +40,14 @@ def normal_lines(text: bytes) -> list[bytes]:
     return [line.strip(b" ") for line in text.split(b"\n")]
 
 
+def _characters(line: bytes, k: int) -> str:
+    """A line of k characters at least: a shorter one is filled up with line ends, which no line has."""
+    return line.decode("utf-8", "replace").ljust(k, "\n")
+
+
 def shingles(lines: list[bytes], k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each line's runs of k characters."""
-    texts = [x.decode("utf-8", "replace") for x in lines]
+    """Sorted distinct hashes of each line's runs of k characters; a shorter line has one of its own."""
+    texts = [_characters(x, k) for x in lines]
     every = grams(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), k)
     ends = np.cumsum([len(t) for t in texts])
     return [np.unique(every[end - len(t) : end - k + 1]) for end, t in zip(ends.tolist(), texts, strict=True)]
@@ -47,7 +55,7 @@ def shingles(lines: list[bytes], k: int) -> list[np.ndarray]:
 
 class _Lines:
     def __init__(self, k: int, min_chars: int, bands: int, rows: int, buckets: int):
-        self.k, self.min_chars, self.bands, self.rows, self.buckets = k, max(min_chars, k), bands, rows, buckets
+        self.k, self.min_chars, self.bands, self.rows, self.buckets = k, max(min_chars, 1), bands, rows, buckets
         rng = np.random.default_rng(SEED)
         self.multipliers = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -71,7 +79,7 @@ class _Lines:
 
     def band_keys(self, lines: list[bytes]) -> np.ndarray:
         """(lines, bands) keys, the band's number mixed in."""
-        texts = [x.decode("utf-8", "replace") for x in lines]
+        texts = [_characters(x, self.k) for x in lines]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         every = grams(codes, self.k, np.uint32)
@@ -207,7 +215,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc, class_line, kept of every line of ``min_chars`` characters or more.
+    """doc_id, line_no, class_doc, class_line, kept of every line of ``min_chars`` characters or more (EVERY_LINE: of all but empty lines).
 
     Lines (split at \\n, runs of white space made one space) are linked if the Jaccard similarity of
     their character shingles is ``threshold`` or more; of each connected component the line of the

@@ -32,7 +32,7 @@ def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), min_chars=line_dedup.EVERY_LINE)
 
 
 def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
