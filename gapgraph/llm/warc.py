@@ -21,6 +21,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_START = re.compile(re.escape(_MEMBER) + b"|" + _VERSION.pattern)
 _STEP = 1 << 14
 #: A gzip member of no bytes; it ends in a zero byte, as every member of under 16 MiB does.
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
@@ -112,49 +113,80 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, str, dict | None, bytes | No
         yield bad, len(data), why, None, None
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(start, end, status, bytes) of each gzip member and each gap between valid members."""
-    at, bad = 0, None
-    while at < len(data):
-        z, plain, read = zlib.decompressobj(31), [], at
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` inflates to, and its end; of a broken member what comes before the fault, and None."""
+    z, plain, read = zlib.decompressobj(31), [], at
+    try:
+        while read < len(data) and not z.eof:
+            # in steps, for what stands after the member is copied with each
+            plain.append(z.decompress(data[read : read + _STEP]))
+            read = min(read + _STEP, len(data))
+    except zlib.error:
+        # a step that fails gives nothing: up to it once more, then byte by byte
+        z = zlib.decompressobj(31)
+        plain = [z.decompress(data[k : k + _STEP]) for k in range(at, read, _STEP)]
         try:
-            while read < len(data) and not z.eof:
-                # in steps, for what stands after the member is copied with each
-                plain.append(z.decompress(data[read : read + _STEP]))
-                read = min(read + _STEP, len(data))
-            whole = z.eof
+            for k in range(read, min(read + _STEP, len(data))):
+                plain.append(z.decompress(data[k : k + 1]))
         except zlib.error:
-            whole = False
-        if whole:
-            if bad is not None:
-                yield bad, at, "broken gzip member", b""
-                bad = None
-            end = read - len(z.unused_data)
-            yield at, end, "ok", b"".join(plain)
-            at = end
-        else:
-            bad = at if bad is None else bad
-            at = data.find(_MEMBER, at + 1)
-            at = len(data) if at < 0 else at
-    if bad is not None:
-        yield bad, len(data), "broken gzip member", b""
+            pass
+        return b"".join(plain), None
+    return b"".join(plain), read - len(z.unused_data) if z.eof else None
+
+
+def _payload_agrees(fields: dict[str, str], block: bytes) -> bool:
+    """Whether a record's payload has the digest in its head, which the block digest doesn't cover; True if that can't be told."""
+    kind, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    return kind != "sha256" or fields["warc-type"] == "revisit" or hashlib.sha256(_payload(fields, block)).hexdigest() == digest
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict | None, bytes | None]]:
-    """All records of a plain or gzipped archive and all byte gaps that hold none.
+    """All records of a plain, gzipped or mixed archive and all byte gaps that hold none.
 
     After a failed check the search goes on for the next valid gzip member or version line, so one
-    broken record costs itself only. Positions are bytes of the archive as stored.
+    broken record costs itself only. Of a broken member the whole valid records that can be inflated are
+    kept if their payload digests agree too, and the member is a gap as well. A valid
+    member without a valid record is part of a gap that it stands in. Positions are bytes of the
+    archive as stored; records of one member have the member's.
     """
-    if not data.startswith(_MEMBER) and (_VERSION.match(data) or _MEMBER not in data):
-        yield from _plain(data)
-        return
-    for start, end, status, plain in _members(data):
-        if status != "ok":
-            yield start, end, status, None, None
-        elif plain:
-            for _, _, inner, fields, block in _plain(plain):
-                yield start, end, inner, fields, block
+    at, bad, why, held = 0, None, "", []
+
+    def gap(end: int):
+        if bad is not None:
+            yield from ((bad, end, "ok", fields, block) for fields, block in held)
+            yield bad, end, why, None, None
+
+    while at < len(data):
+        if data.startswith(_MEMBER, at):
+            plain, end = _inflate(data, at)
+            rows = list(_plain(plain))
+            valid = [(fields, block) for _, _, status, fields, block in rows if status == "ok"]
+            if end is None:
+                valid = [x for x in valid if _payload_agrees(*x)]
+            if end is not None and (valid or bad is None):
+                yield from gap(at)
+                yield from ((at, end, *row[2:]) for row in rows)
+                at, bad, held = end, None, []
+                continue
+            if end is not None:
+                at = end
+            elif valid or bad is None:
+                yield from gap(at)
+                bad, why, held = at, "broken gzip member", valid
+        else:
+            found = _check(data, at)
+            if not isinstance(found, str):
+                yield from gap(at)
+                fields, block, end = found
+                yield at, end, "ok", fields, block
+                at, bad, held = end, None, []
+                continue
+            if bad is None:
+                bad, why = at, found
+            end = None
+        nxt = _START.search(data, at if end is not None else at + 1)
+        at = nxt.start() if nxt else len(data)
+    yield from gap(len(data))
 
 
 def _payload(fields: dict[str, str], block: bytes) -> bytes:

@@ -161,6 +161,39 @@ def test_salvage_of_noise(records):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_of_plain_records_beside_gzip_bytes(records):
+    inner = warc.gzip_member(b"a body " * 50)
+    zipped = warc.build_record(99, "http://x/z", inner, "", None)
+    hurt = b"X" + records[0][1:] + zipped + b"".join(records[1:4])
+    found = list(warc.salvage(hurt))
+    assert names(found) == [warc.record_name(k) for k in (99, 1, 2, 3)]
+    assert [(s, e) for s, e, status, *_ in found if status != "ok"] == [(0, len(records[0]))]
+    # the gzip bytes of a record that is itself broken are no member of the archive
+    found = list(warc.salvage(b"X" + zipped[1:] + records[1]))
+    assert [(s, e, status == "ok") for s, e, status, *_ in found] == [(0, len(zipped), False), (len(zipped), len(zipped) + len(records[1]), True)]
+    # plain records between members, and members after plain records
+    mixed = [warc.gzip_member(records[0]), b"junk", records[1], warc.gzip_member(records[2])]
+    assert names(warc.salvage(b"".join(mixed))) == [warc.record_name(k) for k in range(3)]
+    assert names(warc.salvage(records[3] + b"".join(mixed))) == [warc.record_name(k) for k in (3, 0, 1, 2)]
+
+
+@pytest.mark.parametrize("how", ["cut", "byte", "checksum"])
+def test_salvage_of_one_broken_member(how):
+    rng = random.Random(2)
+    own = [warc.build_record(k, "u", (body := rng.randbytes(2000)), hashlib.sha256(body).hexdigest(), None) for k in range(12)]
+    member = bytearray(warc.gzip_member(b"".join(own)))
+    if how == "cut":
+        member = member[: len(member) * 3 // 4]
+    elif how == "byte":
+        member[len(member) * 3 // 4] ^= 0xFF
+    else:
+        member[-6] ^= 0xFF
+    found = list(warc.salvage(bytes(member) + warc.gzip_member(warc.build_record(50, "u", b"last", "", None))))
+    want = {"cut": 8, "byte": 8, "checksum": 12}[how]
+    assert names(found)[:want] == [warc.record_name(k) for k in range(want)] and names(found)[-1] == warc.record_name(50)
+    assert [(s, e) for s, e, status, *_ in found if status != "ok"] == [(0, len(member))]
+
+
 def test_gaps_are_rows(spark, tmp_path, records):
     (tmp_path / "part-0").write_bytes(records[0] + b"junk" + records[1])
     rows = warc.read_archives(spark, str(tmp_path)).orderBy("offset").collect()
