@@ -59,6 +59,21 @@ def test_joined_by_host(spark):
     assert extract(pages(spark, rows), broadcast_bytes=0) == {k: f"Body {k}" for k in range(8)}
 
 
+def test_near_copies_of_an_article(spark):
+    shared = [f"Paragraph {j} of the story that many pages have" for j in range(6)]
+    def page(k, paragraphs):
+        return k, f"https://copies.example/{k}", "<body><div>Daily Planet</div><article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article></body>"
+    bodies = {k: [*shared[:3], f"By reader {k}", *shared[3:]] for k in range(8)} | {k: [f"Own text {k}", shared[0]] for k in range(8, 12)}
+    assert extract(pages(spark, [page(k, b) for k, b in bodies.items()])) == {k: "\n\n".join(b) for k, b in bodies.items()}
+
+
+def test_copies_make_no_template(spark):
+    same = "<p>First of a story</p><p>Second of it</p>"
+    rows = [site(k, same) for k in range(10)] + [site(10, "<p>Body 10</p><p>First of a story</p>")] + [site(k, f"<p>Body {k}</p>") for k in range(11, 18)]
+    got = extract(pages(spark, rows))
+    assert got[3] == "First of a story\n\nSecond of it" and got[10] == "Body 10\n\nFirst of a story" and got[12] == "Body 12"
+
+
 def test_odd_pages(spark):
     art = "<article><header><h1>Head</h1></header><nav>menu</nav><p>One<p>Two <b>bold<ul><li>a<li>b</ul><section class='comments'><p>troll</p></section></article><footer>f</footer>"
     rows = [(1, "https://one.example/", art), (2, None, "<p>plain &lt;text&gt;"), (3, "http://[bad", None), (4, "x", ""), (5, "y", "no tags\n at all"), (5, "y", "no tags\n at all"), (None, "z", "<table><tr><td>c1<td>c2</table>"), (6, "q", "<p title='a > b'>quoted</p><!-- <p>gone</p> --><p>a<script>x</script>b</p>")]
