@@ -15,10 +15,6 @@ from gapgraph.llm.near import WORK_TABLES, components, link_groups
 
 #: Characters of a shingle; a shorter line is one shingle of its own.
 SHINGLE_CHARS = 8
-#: Characters of the shortest line that is compared, if a caller names no other; shorter lines always stay.
-MIN_CHARS = 20
-#: ``min_chars`` that leaves no line out but empty ones; the query and the pipeline take it.
-EVERY_LINE = 1
 THRESHOLD = 0.8
 #: Bands and MinHash values of each: a pair at the threshold meets with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS = 12
@@ -54,27 +50,21 @@ def shingles(lines: list[bytes], k: int) -> list[np.ndarray]:
 
 
 class _Lines:
-    def __init__(self, k: int, min_chars: int, bands: int, rows: int, buckets: int):
-        self.k, self.min_chars, self.bands, self.rows, self.buckets = k, max(min_chars, 1), bands, rows, buckets
+    def __init__(self, k: int, bands: int, rows: int, buckets: int):
+        self.k, self.bands, self.rows, self.buckets = k, bands, rows, buckets
         rng = np.random.default_rng(SEED)
         self.multipliers = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def eligible(self, texts: list[bytes]):
-        """(text, line, normal line) of each line that is long enough."""
-        for i, text in enumerate(texts):
-            for j, norm in enumerate(normal_lines(text)):
-                # a character takes four bytes at most
-                if len(norm) >= self.min_chars and (len(norm) >= 4 * self.min_chars or len(norm.decode("utf-8", "replace")) >= self.min_chars):
-                    yield i, j, norm
-
     def distinct(self, texts) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The chunk's distinct lines; and of each line text, number, and which distinct line it is."""
         found: dict[bytes, int] = {}
         row, line, which = [], [], []
-        for i, j, norm in self.eligible(texts):
-            row.append(i)
-            line.append(j)
-            which.append(found.setdefault(norm, len(found)))
+        for i, text in enumerate(texts):
+            for j, norm in enumerate(normal_lines(text)):
+                if norm:
+                    row.append(i)
+                    line.append(j)
+                    which.append(found.setdefault(norm, len(found)))
         return list(found), (np.array(row, np.int32), np.array(line, np.int32), np.array(which, np.int64))
 
     def band_keys(self, lines: list[bytes]) -> np.ndarray:
@@ -194,10 +184,10 @@ class _Lines:
         return pa.RecordBatch.from_arrays(columns, names=["row", "line", "doc_id", "item", "content", "marks", "groups"])
 
 
-def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: float, shingle: int, min_chars: int, bands: int, rows: int, chunk_chars: int):
+def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: float, shingle: int, bands: int, rows: int, chunk_chars: int):
     """(lines, chunks, nodes, kept): nodes have a row per line, kept (item, place) the line that stays for each named item."""
     stages = Stages(docs.sparkSession, "line-dedup")
-    lines = _Lines(shingle, min_chars, bands, rows, bucket_count(docs))
+    lines = _Lines(shingle, bands, rows, bucket_count(docs))
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars, others), "chunks")
     found = stages.write(ask(chunks, lines.ask_bands, lines.answer_bands), "bands")
     nodes = stages.write(each_chunk(with_replies(chunks, found), lines.nodes, _NODES), "nodes")
@@ -214,8 +204,8 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
     return lines, chunks, nodes, stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc, class_line, kept of every line of ``min_chars`` characters or more (EVERY_LINE: of all but empty lines).
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, line_no, class_doc, class_line, kept of every line that is not blank.
 
     Lines (split at \\n, runs of white space made one space) are linked if the Jaccard similarity of
     their character shingles is ``threshold`` or more; of each connected component the line of the
@@ -228,20 +218,20 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text has no lines; a null id stands behind all others; repeated rows are documents of their
     own; an empty table gives no rows; other columns are not read.
     """
-    _, _, nodes, kept = _decisions(docs, id_col, text_col, None, threshold, shingle, min_chars, bands, rows, chunk_chars)
+    _, _, nodes, kept = _decisions(docs, id_col, text_col, None, threshold, shingle, bands, rows, chunk_chars)
     alone = nodes.filter("item is null").select("doc_id", F.col("line").alias("line_no"), F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), F.lit(True).alias("kept"))
     named = nodes.filter("item is not null").select("chunk", "row", "line", "doc_id", "item").join(kept, "item")
     stays = (F.col("chunk") == F.col("place.chunk")) & (F.col("row") == F.col("place.row")) & (F.col("line") == F.col("place.line"))
     return alone.unionByName(named.select("doc_id", F.col("line").alias("line_no"), F.col("place.doc_id").alias("class_doc"), F.col("place.line").alias("class_line"), stays.alias("kept")))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with all columns, each component's lines but one taken out of the texts.
 
     A document that lost lines and has no word left goes; others, null texts included, stay.
     """
     others = [c for c in docs.columns if c != text_col]
-    lines, chunks, nodes, kept = _decisions(docs, id_col, text_col, others, threshold, shingle, min_chars, bands, rows, chunk_chars)
+    lines, chunks, nodes, kept = _decisions(docs, id_col, text_col, others, threshold, shingle, bands, rows, chunk_chars)
     schema, where = docs.schema, docs.columns.index(text_col)
     place = F.col("place")
     goes = ~((F.col("chunk") == place["chunk"]) & (F.col("row") == place["row"]) & (F.col("line") == place["line"]))

@@ -30,9 +30,9 @@ base AS (
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN covered USING (doc_id)),
-lines AS (SELECT doc_id, coalesce(source, '') AS host, text, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM words),
-hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT text) AS texts FROM words GROUP BY 1),
-boiler AS (SELECT host, line FROM lines JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, texts HAVING count(DISTINCT text) > {Q.MIN_DOCS} AND count(DISTINCT text) > {Q.MAX_SHARE} * texts),
+lines AS (SELECT doc_id, coalesce(source, '') AS host, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM words),
+hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT doc_id) AS docs FROM words GROUP BY 1),
+boiler AS (SELECT host, line FROM lines JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, docs HAVING count(DISTINCT doc_id) > {Q.MIN_DOCS} AND count(DISTINCT doc_id) > {Q.MAX_SHARE} * docs),
 hit AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN boiler USING (host, line) GROUP BY doc_id),
 judged AS (
   SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -21,19 +22,36 @@ STEP_TOKENS = 1 << 16
 POOL_TOKENS = 1 << 19
 #: A longer text is tokenized in parts, cut where no token can cross.
 PART_CHARS = 1 << 20
-#: Between two ASCII letters a single space always starts a new pre-token.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A run of so much white space is a token's worth of its own: the pattern's look-ahead would back up through all of it.
+LONG_RUN = 1 << 16
+#: White space as the pattern's \\s has it (the Unicode property).
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No pre-token goes on from another character to white space, nor from a letter to a punctuation mark.
+_CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-def load_encoder(ranks_path: str, pattern: str):
-    """A byte-level BPE encoder for a rank file; special strings in a text are ordinary text."""
+def load_encoder(ranks_path: str, pattern: str, special_tokens: dict[str, int] | None = None):
+    """A byte-level BPE encoder for a rank file; ``special_tokens`` in a text get their ids, as a tokenizer's added tokens do."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special_tokens or {})
+
+
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file."""
+    with open(json_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def public_byte_bpe(name: str = "byte_bpe_50k") -> dict:
+    """pack_documents()'s arguments for a byte-level BPE of the installed public tokenizers: the ids of ``name``.json, from its rank file."""
+    import public_tokenizers
+
+    return {"ranks_path": public_tokenizers.path(f"{name}.tiktoken"), "pattern": public_tokenizers.PATTERN, "special_tokens": added_tokens(public_tokenizers.path(f"{name}.json"))}
 
 
 def _parts(text: str, size: int) -> Iterator[str]:
@@ -47,9 +65,32 @@ def _parts(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(encoder, text: str, part_chars: int = PART_CHARS) -> np.ndarray:
+def _runs(encoder, text: str, long_run: int) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is a long white-space run that is one pre-token.
+
+    The last character of such a run goes with what follows, unless a special token or nothing does.
+    """
+    at = 0
+    for run in re.finditer(f"[{_WS}]{{{long_run},}}", text):
+        end = run.end()
+        if end < len(text) and not any(text.startswith(t, end) for t in encoder.special_tokens_set):
+            end -= 1
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def encode(encoder, text: str, part_chars: int = PART_CHARS, long_run: int = LONG_RUN) -> np.ndarray:
     """Token ids of a whole text, as unsigned 32-bit."""
-    return np.concatenate([encoder.encode_to_numpy(part) for part in _parts(text, part_chars)])
+    out = []
+    for part in _parts(text, part_chars):
+        for some, alone in _runs(encoder, part, long_run) if len(part) >= long_run else ((part, False),):
+            if alone:
+                out.append(np.array(encoder._encode_single_piece(some), "<u4"))
+            elif some:
+                out.append(encoder.encode_to_numpy(some, allowed_special="all"))
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 class Packer:
@@ -156,24 +197,27 @@ class Packer:
         self.full = []
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers=TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers=TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS, with_ids: bool = False, special_tokens: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of a document in a packed sequence; no shuffle.
 
     Each read partition packs what it holds: documents of a window or more give whole windows,
     remainders and short documents wait in context-size tiers. A sequence is exactly as long as
     its tier; only the last few of a task take smaller powers of two, so nothing is padded. Step
-    groups of a task hold nearly equal token counts and a like mix of tiers. Memory is one record
+    groups are balanced within a task: they hold nearly equal token counts and a like mix of tiers;
+    a task's last flush may make smaller ones. Memory is one record
     batch plus ``pool_tokens``; a retried task gives the same pieces and ids, because ids come
     from the partition's number and its file splits.
 
     A null text is an empty one and packs as the end id alone; a null id is kept; repeated rows
     are packed each for itself; an empty table gives no rows; other columns are not read.
-    ``with_ids`` adds the token ids of each piece.
+    Very long texts are tokenized in parts, and runs of white space of any length are one
+    pre-token. ``with_ids`` adds the token ids of each piece; ``special_tokens`` (``added_tokens`` of
+    a tokenizer's file) in a text get their own ids, as the tokenizer gives them by default.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        encoder = load_encoder(ranks_path, pattern)
+        encoder = load_encoder(ranks_path, pattern, special_tokens)
         packer = Packer(TaskContext.get().partitionId() << 36, tiers, step_tokens, pool_tokens)
 
         def rows(sequences):

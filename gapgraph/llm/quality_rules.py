@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapgraph.llm.common import GAPS
 
-#: A line is boilerplate on a host if it is in more distinct texts than both limits.
+#: A line is boilerplate on a host if it is in more distinct documents than both limits.
 MIN_DOCS = 20
 MAX_SHARE = 0.1
 #: A document is depleted if fewer words stay, or a smaller share of them.
@@ -91,16 +91,17 @@ def normal_line(line: Column) -> Column:
 def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(doc_id, host, text_hash, pos, line_words) of each line above its host's limit.
 
-    rows: doc_id, host, text. A document counts once for a line, and equal texts of a host count as
-    one document, so copies of a clean text never make its lines boilerplate. Counting pre-aggregates
-    before each shuffle; a frequent line of a hot host is one row from each task.
+    rows: doc_id, host, text. A document (a doc_id; the null ids of a host are one) counts once for a
+    line, and copies of a text are documents of their own. Counting pre-aggregates before each shuffle;
+    a frequent line of a hot host is one row for each document and task, spread by the document.
     """
+    document = F.struct("doc_id")
     lines = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.select("doc_id", "host", "text_hash", "pos", normal_line(F.col("line")).alias("line")).filter("line <> ''")
     lines = lines.select("doc_id", "host", "text_hash", "pos", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).cast("long").alias("line_words"))
-    texts = rows.select("host", F.xxhash64("text").alias("text_hash")).groupBy("host").agg(F.count_distinct("text_hash").alias("_texts"))
-    counts = lines.groupBy("host", "line_hash").agg(F.count_distinct("text_hash").alias("_n")).filter(F.col("_n") > min_docs)
-    frequent = counts.join(texts, "host").filter(F.col("_n") > max_share * F.col("_texts")).select("host", "line_hash")
+    sizes = rows.groupBy("host").agg(F.count_distinct(document).alias("_docs"))
+    counts = lines.groupBy("host", "line_hash").agg(F.count_distinct(document).alias("_n")).filter(F.col("_n") > min_docs)
+    frequent = counts.join(sizes, "host").filter(F.col("_n") > max_share * F.col("_docs")).select("host", "line_hash")
     return lines.join(frequent, ["host", "line_hash"]).select("doc_id", "host", "text_hash", "pos", "line_words")
 
 
@@ -130,16 +131,28 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.withColumn("n_boiler_words", removed).withColumn("kept", _verdict(removed)).drop("text_hash", "host", "boiler")
 
 
+def _without(lines: Column, places: Column) -> Column:
+    """``lines`` but for those at the sorted ``places``, in one walk: a text of flags says for each line whether it goes."""
+    after = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.size(places) - 1))
+    flags = F.array_join(F.zip_with(places, after, lambda p, before: F.concat(F.repeat(F.lit("0"), p - before - 1), F.lit("1"))), "").cast("binary")
+    return _let(flags, lambda f: F.filter(lines, lambda _, i: F.substring(f, i + 1, F.lit(1)) != F.lit(b"1")))
+
+
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns, boilerplate lines removed from the text."""
+    """The kept rows of ``docs`` with all their columns, boilerplate lines removed from the text.
+
+    Rows go if they fail the base rules or are depleted; so do null, empty and blank texts, which have
+    too few words. A null host is the host ""; a null id is kept like any other; repeated rows stay or go
+    together; an empty table gives no rows; other columns may have any name.
+    """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = own.select("_row", F.col("_row")[id_col].alias("doc_id"), F.coalesce(F.col("_row")[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")).alias("text"))
     found = boilerplate(rows.select("doc_id", "host", "text"), min_docs, max_share).distinct()
-    found = found.groupBy("doc_id", "host", "text_hash").agg(F.sum("line_words").alias("boiler"), F.collect_list("pos").alias("places"))
+    found = found.groupBy("doc_id", "host", "text_hash").agg(F.sum("line_words").alias("boiler"), F.sort_array(F.collect_list("pos")).alias("places"))
     counted = base_counts(rows.withColumn("text_hash", F.xxhash64("text")))
     kept = _on_key(counted.filter(~F.col("base_failed")), found.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "boiler", "places"))
     kept = kept.filter(_verdict(F.coalesce("boiler", F.lit(0))))
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("places"), i)), "\n")
+    left = F.array_join(_without(_lines(F.col("text")), F.col("places")), "\n")
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(left)
     kept = kept.select("_row", text.alias("_text"))
     return kept.select(*(F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -10,9 +10,7 @@ from gapgraph.llm.oracles import ORACLES  # noqa: F401  read by __spark_entry__
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **packing.public_byte_bpe())
 
 
 def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +30,7 @@ def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"), min_chars=line_dedup.EVERY_LINE)
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

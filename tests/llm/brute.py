@@ -66,14 +66,14 @@ def base_counts(text):
 
 
 def quality(docs, min_docs=20, max_share=0.1, min_words=20, min_kept=0.5):
-    """docs (id, text, host) -> [(id, kept, text without boilerplate lines)]."""
+    """docs (id, text, host) -> [(id, kept, text without boilerplate lines)]; documents are counted by id."""
     norm = lambda x: " ".join(words(x.lower()))
-    texts, holders = defaultdict(set), defaultdict(set)
-    for _, t, h in docs:
-        texts[h].add(t)
-        for x in {norm(x) for x in t.split("\n")} - {""}:
-            holders[h, x].add(t)
-    boiler = {k for k, v in holders.items() if len(v) > min_docs and len(v) > max_share * len(texts[k[0]])}
+    on_host, holders = defaultdict(set), defaultdict(set)
+    for i, t, h in docs:
+        on_host[h].add(i)
+        for x in t.split("\n"):
+            holders[h, norm(x)].add(i)
+    boiler = {(h, x) for (h, x), ids in holders.items() if x and len(ids) > max(min_docs, max_share * len(on_host[h]))}
     out = []
     for i, t, h in docs:
         n, *_, failed = base_counts(t)
@@ -84,15 +84,14 @@ def quality(docs, min_docs=20, max_share=0.1, min_words=20, min_kept=0.5):
     return out
 
 
-def line_classes(docs, k=8, min_chars=20, threshold=0.8):
-    """docs (id, text) -> {(id, line): (id, line) that stays}; ids must differ."""
+def line_classes(docs, k=8, threshold=0.8):
+    """docs (id, text) -> {(id, line): (id, line) that stays}; ids must differ. A line shorter than a shingle is one of its own."""
     found = defaultdict(list)
     for i, t in docs:
         for j, x in enumerate((t or "").split("\n")):
-            x = " ".join(words(x))
-            if len(x) >= min_chars:
+            if x := " ".join(words(x)):
                 found[x].append((i, j))
-    sets = {x: {x[a : a + k] for a in range(len(x) - k + 1)} for x in found}
+    sets = {x: {x[a : a + k] for a in range(max(1, len(x) - k + 1))} for x in found}
     u = Union()
     for a, b in similar(sets, threshold):
         u.join(a, b)

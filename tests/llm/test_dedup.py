@@ -148,32 +148,16 @@ SHORT = [
 ]
 
 
-def every_line(rows, k=8):
-    """brute.line_classes without a least length: a line shorter than a shingle is one of its own."""
-    found = {}
-    for i, t in rows:
-        for j, x in enumerate((t or "").split("\n")):
-            if x := " ".join(brute.words(x)):
-                found.setdefault(x, []).append((i, j))
-    u, first = brute.Union(), {}
-    for a, b in brute.similar({x: {x[a : a + k] for a in range(max(1, len(x) - k + 1))} for x in found}):
-        u.join(a, b)
-    for x, places in found.items():
-        r = u.find(x)
-        first[r] = min([*places, *([first[r]] if r in first else [])])
-    return {p: first[u.find(x)] for x, places in found.items() for p in places}
-
-
 def test_short_lines(spark, sf, docs, rows):
     df = spark.createDataFrame(SHORT, "doc_id long, text string").repartition(3)
-    got = lines(df, min_chars=line_dedup.EVERY_LINE, chunk_chars=40)
-    assert got == {k: (v, k == v) for k, v in every_line(SHORT).items()}
+    got = lines(df, chunk_chars=40)
+    assert got == {k: (v, k == v) for k, v in brute.line_classes(SHORT).items()}
     assert got[4, 3] == ((1, 1), False) and got[2, 1] == ((1, 4), False) and got[3, 1] == ((3, 1), True) and got[2, 2] == ((2, 2), True)
-    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, min_chars=line_dedup.EVERY_LINE).collect()}
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
     assert left[4] == "ab cd ef gh\nx\n " and left[1].split("\n")[1:] == ["Les.", "", "abcdefghijk"]
     assert left[3] == "abcdefg\nabcdefgh\nabcdefg x"
     found = {(r.doc_id, r.line_no): ((r.class_doc, r.class_line), r.kept) for r in queries.op6_fuzzy_line_dedup(spark, str(sf)).collect()}
-    assert found == {k: (v, k == v) for k, v in every_line(rows).items()}
+    assert found == {k: (v, k == v) for k, v in brute.line_classes(rows).items()}
 
 
 def test_bucket_count(spark, docs):

@@ -25,13 +25,13 @@ def test_repeats_overlap(spark):
 
 
 def corpus():
-    """Two hosts; one puts a banner line into all its texts, and has copies of one clean text."""
+    """Three hosts; one puts a banner line into most of its texts, one has many copies of a text."""
     rows = []
     for k in range(60):
         own = " ".join(f"w{k}x{j}" for j in range(40 if k % 10 else 12))
         rows.append((k, f"{own}\n Follow US on every network for more   stories and news about this fine town of ours today", "a"))
-    clean = " ".join(f"c{j}" for j in range(60))
-    rows += [(100 + k, clean, "a") for k in range(50)]
+    copied = "\n".join(" ".join(f"c{i}x{j}" for j in range(12)) for i in range(5))
+    rows += [(100 + k, copied, "c") for k in range(30)] + [(150 + k, copied, "d") for k in range(20)]
     rows += [(200 + k, " ".join(f"v{k}y{j}" for j in range(30)), "b") for k in range(30)]
     return rows
 
@@ -41,11 +41,28 @@ def test_line_frequency(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = brute.quality(rows)
     assert {r.doc_id: r.kept for r in quality_rules.quality_verdicts(df).collect()} == {i: k for i, k, _ in want}
-    assert any(not k for _, k, _ in want) and all(k for i, k, _ in want if i >= 100)
+    kept = {i for i, k, _ in want if k}
+    # 30 documents with a line are over the limit, though their texts are equal; 20 are not
+    assert not kept & set(range(100, 130)) and kept >= set(range(150, 170)) | set(range(200, 230))
     got = sorted(tuple(r) for r in quality_rules.clean_documents(df).select("doc_id", "text").collect())
     assert got == sorted((i, t) for i, k, t in want if k)
 
 
+def test_rows_of_one_document_count_once(spark):
+    rows = [(1, " ".join(f"a{j}" for j in range(30)), "a")] * 40 + [(k, " ".join(f"b{k}x{j}" for j in range(30)), "a") for k in range(2, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.kept and not r.n_boiler_words for r in quality_rules.quality_verdicts(df).collect())
+
+
+def test_boilerplate_at_many_places(spark):
+    lines = [f"unlike line number {j} of this text here" for j in range(400)]
+    for j in range(0, 400, 3):
+        lines[j] = "the same footer on all pages"
+    rows = [(k, "\n".join(x if x.startswith("the") else f"{x} {k}" for x in lines), "a") for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in quality_rules.clean_documents(df).select("doc_id", "text").collect()) == sorted((i, t) for i, k, t in brute.quality(rows) if k)
+
+
 def test_quality_of_odd_rows(odd, none):
     out = quality_rules.clean_documents(odd)
     assert out.schema.names == odd.schema.names

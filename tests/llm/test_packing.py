@@ -9,18 +9,17 @@ from tokenizers import Tokenizer
 
 from gapgraph.llm import packing
 
-RANKS = P.path("byte_bpe_50k.tiktoken")
+BPE = packing.public_byte_bpe()
+ENCODER = packing.load_encoder(**BPE)
 
 
 def pack(df, **how):
-    return packing.pack_documents(df, RANKS, P.PATTERN, **how).collect()
+    return packing.pack_documents(df, **BPE, **how).collect()
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def check(pieces, docs, tokenizer):
@@ -78,9 +77,23 @@ def test_with_ids(odd):
 
 
 def test_long_text_in_parts(tokenizer):
-    text = ("It's a test, isn't it?  Numbers 123 and   spaces\n\n and <|endoftext|> ünïcode. " * 50) + "x" * 500
-    encoder = packing.load_encoder(RANKS, P.PATTERN)
-    assert packing.encode(encoder, text, 97).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    text = ("It's a test, isn't it?  Numbers 123 and   spaces\n\n and <|endoftext|> ünïcode. 漢字、かな。\u3000x\x85\x1c y" * 50) + "x" * 500
+    encoder = packing.load_encoder(**BPE)
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert 50256 in want
+    for size, run in ((97, 2), (97, 1 << 16), (1 << 20, 3)):
+        assert packing.encode(encoder, text, size, run).tolist() == want
+
+
+@pytest.mark.parametrize("text", ["\n" * 2_000_000, " " * 1_500_000 + "x", "a" + "\t " * 600_000 + "<|endoftext|> b", "7" * 1_000_000, "漢字" * 300_000, "漢字、" * 300_000, "#*" * 500_000])
+def test_very_long_texts(tokenizer, text):
+    assert packing.encode(packing.load_encoder(**BPE), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(st.sampled_from("ab '\n\t\u3000漢、.7<"), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_parts_and_runs(tokenizer, text):
+    assert packing.encode(ENCODER, text, 5, 2).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(1, 3000), max_size=60), st.sampled_from([600, 5000, 1 << 19]))
