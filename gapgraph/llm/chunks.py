@@ -16,6 +16,8 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from gapgraph.llm.common import release
+
 #: Bytes of a chunk's texts; a longer text is a chunk of its own.
 CHUNK_CHARS = 2 << 20
 #: Chunks are shuffled once or more; a level above the lowest is worth its time.
@@ -71,6 +73,8 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int =
                 parts.append(batch.slice(start))
         if parts:
             yield row()
+        parts = []
+        release()
 
     return rows.mapInArrow(run, "chunk long, content binary")
 
@@ -111,9 +115,12 @@ def ask(chunks: DataFrame, question: Callable[[list, list[bytes], list[dict[int,
                 parts = [(chunk, b, p) for b, p in question(ids, texts, answers)]
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "bucket", "part"])
+                parts = ids = texts = answers = None
+        release()
 
     def reply(table: pa.Table) -> pa.Table:
         replies = answer(table.column("part").to_pylist())
+        release()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "reply": pa.array(replies, pa.binary())})
 
     sent = chunks.mapInArrow(send, "chunk long, bucket int, part binary")
@@ -131,6 +138,8 @@ def each_chunk(chunks: DataFrame, rows: Callable[[list, list[bytes], list[dict[i
                 if numbered:
                     made = pa.RecordBatch.from_arrays([pa.array(np.full(made.num_rows, chunk)), *made.columns], names=["chunk", *made.schema.names])
                 yield made
+                made = ids = texts = answers = None
+        release()
 
     return chunks.mapInArrow(run, schema)
 

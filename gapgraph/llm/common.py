@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapgraph.stages import Stages, shared_dir
 
-__all__ = ["GAPS", "Stages", "shared_dir", "slices", "table"]
+__all__ = ["GAPS", "Stages", "release", "shared_dir", "slices", "table"]
 
 #: Separators of words, the space and the ASCII controls 9 to 13, for Java's regular expressions.
 GAPS = r"[\x20\x09-\x0D]+"
@@ -26,3 +27,12 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the system; workers live on between tasks and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass

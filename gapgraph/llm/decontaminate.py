@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gapgraph.llm.common import release
+
 #: Edits allowed, as a share of an item's characters.
 ERROR_SHARE = 0.1
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
@@ -208,6 +210,7 @@ def _search(block: list[tuple[int, str]], share: float):
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        release()
 
     return run
 
@@ -244,5 +247,6 @@ def _cut(block: list[tuple[int, str]], share: float, place: int, min_words: int)
             columns = [*batch.columns]
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+        release()
 
     return run

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
-from gapgraph.llm.common import Stages
+from gapgraph.llm.common import Stages, release
 from gapgraph.llm.hashing import U, grams, minhash, mix
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
 
@@ -228,7 +228,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with all columns, each component's lines but one taken out of the texts.
 
-    A document that lost lines and has no word left goes; others, null texts included, stay.
+    A document that lost lines and has no word left goes; others, null texts included, stay. Repeated
+    rows are documents of their own, so the first keeps its lines; a null id stands behind all others; an
+    empty table gives no rows; other columns may have any name.
     """
     others = [c for c in docs.columns if c != text_col]
     lines, chunks, nodes, kept = _decisions(docs, id_col, text_col, others, threshold, shingle, bands, rows, chunk_chars)
@@ -251,5 +253,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 columns = table.columns[2:]
                 columns.insert(where, pa.array(column, pa.string()))
                 yield from pa.table(columns, names=schema.names).filter(pa.array(stay)).to_batches()
+        release()
 
     return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema)

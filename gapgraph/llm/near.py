@@ -8,17 +8,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.common import Stages
+from gapgraph.llm.common import Stages, release
 
 #: Items of a block. A group of n items is compared block by block, (n / BLOCK)^2 / 2 tasks' worth of rows.
 BLOCK = 512
 #: Columns of an incidence matrix made at once.
 COLUMNS = 2048
 #: Tables of link_groups() that are used up once its result is written.
-WORK_TABLES = ("groups", "candidates", "labelled-groups", "whole")
+WORK_TABLES = ("groups", "candidates-labels", "labelled-groups", "whole")
 _FAR = np.iinfo(np.int64).max
 
 
+def all_marks(packed: list[bytes]) -> np.ndarray:
+    """Rows of 64-bit integers, as they are."""
+    return np.stack([np.frombuffer(m, np.int64) for m in packed])
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays."""
     n = len(sets)
@@ -58,7 +63,7 @@ def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
     once = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min("group").alias("group"), F.min("root").alias("root")).select("group", "root", "n")
     kept = stages.write(hashed.join(once, "group"), "groups")
     labels = components(stages, kept.select(F.col("h").alias("item"), "root"), "candidates")
-    labels = stages.write(labels.select(F.col("item").alias("h"), "label"), "candidates")
+    labels = labels.select(F.col("item").alias("h"), "label")
     labelled = stages.write(kept.select("group", "item", "n", "h").join(labels, "h").drop("h"), "labelled-groups")
     per_label = labelled.groupBy("label").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
     size = labelled.select("label", "item").distinct()
@@ -69,73 +74,83 @@ def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
     return as_one.unionByName(apart)
 
 
-def link_groups(members: DataFrame, items: DataFrame, threshold: float, decode: Callable[[list[bytes]], list[np.ndarray]], stages: Stages, parts: int, block: int = BLOCK) -> DataFrame:
-    """(item, root, links): items of a group that are linked, from the exact Jaccard of every pair in a group.
+def link_groups(
+    members: DataFrame,
+    items: DataFrame,
+    threshold: float,
+    decode: Callable[[list[bytes]], list[np.ndarray]],
+    stages: Stages,
+    parts: int,
+    block: int = BLOCK,
+    marks: Callable[[list[bytes]], np.ndarray] = all_marks,
+    seen: Callable[[list[bytes]], np.ndarray] | None = None,
+    weigh: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """(item, root, links, pairs, weights): items of a group that are linked, from the exact Jaccard of every pair in a group.
 
     members: distinct (group long, item binary); items: (item, weight long, content binary, marks
-    binary), marks being all groups of an item as 64-bit integers. ``decode`` gives the sorted distinct
-    values of contents. A row has the weights of the partners found in ``links``, and a ``root`` that
-    the item is connected to. No pair is emitted, and each pair that shares a group is compared in one
-    place: in the whole component, or in the least of its common groups. What is large is cut into
-    blocks, and two blocks are a task's work; what fits a block is dealt out to ``parts`` lots.
+    binary), from which ``marks`` makes all groups of each item as 64-bit integers, in columns that tell
+    kinds of groups apart. ``decode`` gives the sorted distinct values of contents. A row has the weights
+    of the partners found in ``links``, their number in ``pairs``, the sums of ``weigh`` of their
+    similarities, and a ``root`` that the item is connected to. No pair is emitted, and each pair that
+    shares a group is compared in one place: in the whole component, or in the least of its common groups;
+    pairs that share one of the ``seen`` groups are left out. What is large is cut into blocks, and two
+    blocks are a task's work; what fits a block is dealt out to ``parts`` lots.
     """
     placed = _units(members, stages, block).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     pairs = placed.select("group", "whole", "blocks", "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lot = F.when(F.col("blocks") == 1, F.pmod("group", F.lit(parts)).cast("long")).otherwise(F.col("group"))
     pairs = pairs.select(lot.alias("lot"), (F.col("blocks") == 1).alias("small"), "group", "whole", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
-    def compare(group: int, whole: bool, across: bool, own: np.ndarray, marks: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]):
-        """(member, root member, weight of partners) of the linked members of one unit."""
+    def compare(group: int, whole: bool, across: bool, own: np.ndarray, own_marks: np.ndarray, old: np.ndarray | None, weight: np.ndarray, contents: list[bytes]):
+        """(member, root member, weight of partners, partners, their similarities weighed) of the linked members of one unit."""
         n = len(own)
-        if n == 2:
-            same = marks[0][marks[0] == marks[1]]
-            if len(same) and (whole or same.min() == group) and (not across or own[0] != own[1]):
-                both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-                if both >= threshold * (len(sets[0]) + len(sets[1]) - both) - 1e-9:
-                    yield 0, 0, int(weight[1])
-                    yield 1, 0, int(weight[0])
-            return
         first = np.full((n, n), _FAR)
-        for mark in marks.T:
+        for mark in own_marks.T:
             np.minimum(first, np.where(mark[:, None] == mark[None, :], mark[:, None], _FAR), out=first)
         mine = first < _FAR if whole else first == group
         mine &= (own[:, None] != own[None, :]) if across else ~np.eye(n, dtype=bool)
+        for mark in old.T if old is not None else ():
+            mine &= mark[:, None] != mark[None, :]
         some = np.flatnonzero(mine.any(1))
         if not len(some):
             return
-        both = _common([sets[i] for i in some])
+        both = _common(decode([contents[i] for i in some]))
         size = np.diag(both)
         union = size[:, None] + size[None, :] - both
         linked = mine[np.ix_(some, some)] & (both >= threshold * union - 1e-9)
         if not linked.any():
             return
-        links = linked @ weight[some]
-        label = np.arange(len(some))
+        links, label = linked @ weight[some], np.arange(len(some))
         while True:
             least = np.minimum(label, np.where(linked, label[None, :], len(some)).min(1))
             if (least == label).all():
                 break
             label = least
         for i in np.flatnonzero(linked.any(1)):
-            yield int(some[i]), int(some[label[i]]), int(links[i])
+            alike = both[i][linked[i]] / union[i][linked[i]]
+            yield int(some[i]), int(some[label[i]]), int(links[i]), len(alike), weigh(alike).tolist() if weigh else []
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("group").combine_chunks()
         group, whole, own, low, high, weight = (table.column(c).to_numpy() for c in ("group", "whole", "own", "low", "high", "weight"))
-        marks = np.stack([np.frombuffer(m, np.int64) for m in table.column("marks").to_pylist()])
-        names, sets = table.column("item"), decode(table.column("content").to_pylist())
-        item, root, links = [], [], []
+        packed = table.column("marks").to_pylist()
+        mark, old = marks(packed), seen(packed) if seen else None
+        names, contents = table.column("item"), table.column("content")
+        found: list[tuple] = []
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
-                for i, r, n in compare(group[a], whole[a], low[a] != high[a], own[a:b], marks[a:b], weight[a:b], sets[a:b]):
-                    item.append(names[a + i].as_py())
-                    root.append(names[a + r].as_py())
-                    links.append(n)
-        return pa.table({"item": pa.array(item, pa.binary()), "root": pa.array(root, pa.binary()), "links": pa.array(links, pa.int64())})
+                # the contents of one unit at a time
+                for i, r, *more in compare(group[a], whole[a], low[a] != high[a], own[a:b], mark[a:b], old[a:b] if seen else None, weight[a:b], contents.slice(a, b - a).to_pylist()):
+                    found.append((names[a + i].as_py(), names[a + r].as_py(), *more))
+        release()
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item", "root", "links", "pairs", "weights"])
 
     full = pairs.join(items.select("item", "weight", "content", "marks"), "item")
-    return full.groupBy("lot", "small", "low", "high").applyInArrow(verify, "item binary, root binary, links long")
+    return full.groupBy("lot", "small", "low", "high").applyInArrow(verify, "item binary, root binary, links long, pairs long, weights array<long>")
 
 
 def components(stages: Stages, links: DataFrame, name: str = "components") -> DataFrame:
@@ -143,8 +158,8 @@ def components(stages: Stages, links: DataFrame, name: str = "components") -> Da
 
     Distributed union-find by contraction. In each round every node hooks to its least neighbour, one
     hash-ordered node in two or more thus going, and edges are redrawn between what is left; rounds
-    follow the logarithm of the longest chain. Each round is a written table; labels are composed at
-    the end. A hot node costs one row a task, since minima are taken before the shuffle.
+    follow the logarithm of the longest chain. Each round is a written table; labels are composed and
+    written at the end, and the rounds' tables go. A hot node costs one row a task, since minima are taken before the shuffle.
     """
     edges = links.filter("item <> root").select(F.col("item").alias("u"), F.col("root").alias("v"))
     edges = stages.write(edges.union(edges.select("v", "u")).distinct(), f"{name}-edges0")
@@ -157,10 +172,13 @@ def components(stages: Stages, links: DataFrame, name: str = "components") -> Da
         both = left.join(hook.select(F.col("u").alias("v"), F.col("p").alias("b")), "v").filter("a <> b")
         edges = stages.write(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges{k + 1}")
         stages.drop(f"{name}-edges{k}")
+    stages.drop(f"{name}-edges{len(hooks)}")
     if not hooks:
-        return edges.select(F.col("u").alias("item"), F.col("v").alias("label"))
+        return links.sparkSession.createDataFrame([], f"item {links.schema['item'].dataType.simpleString()}, label {links.schema['item'].dataType.simpleString()}")
     labels = hooks[0].select(F.col("u").alias("item"), F.col("p").alias("label"))
     for hook in hooks[1:]:
         step = hook.select(F.col("u").alias("label"), "p")
         labels = labels.join(step, "label", "left").select("item", F.coalesce("p", "label").alias("label"))
+    labels = stages.write(labels, f"{name}-labels")
+    stages.drop(*(f"{name}-hook{k}" for k in range(len(hooks))))
     return labels

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from gapgraph.llm.common import release
+
 #: Context sizes of the tiers; the largest is the training window.
 TIERS = (64, 128, 256, 512, 1024)
 #: Tokens of one optimizer step; step groups come out near this size.
@@ -239,5 +241,6 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 if packer.held >= pool_tokens:
                     yield from rows(packer.pack())
         yield from rows(packer.pack(last=True))
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -67,7 +67,7 @@ def test_near_group_in_blocks(spark, monkeypatch):
     want = sorted(brute.near(rows), key=repr)
     assert joined(df, chunk_chars=3000) == want
     real = near.link_groups
-    monkeypatch.setattr(ngram_join, "link_groups", lambda *a: real(*a, block=7))
+    monkeypatch.setattr(ngram_join, "link_groups", lambda *a, **how: real(*a, block=7, **how))
     assert joined(df) == want
 
 
@@ -91,8 +91,70 @@ def test_keep_one(odd, docs, rows):
 
 
 @pytest.mark.parametrize(("threshold", "trees", "depth"), [(0.8, 24, 5), (0.5, 24, 1), (0.95, 24, 8)])
-def test_prefix_depth(threshold, trees, depth):
-    assert ngram_join.prefix_depth(threshold, trees, 8, 0.9999) == depth
+def test_floor_depth(threshold, trees, depth):
+    assert ngram_join.floor_depth(threshold, trees, 8, 0.9999) == depth
+
+
+def alike(rng, k, n=100):
+    """k near copies of a text, of ever lower similarity."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    out = []
+    for i in range(k):
+        w = list(base)
+        w[: i + 1] = [f"y{rng.randrange(10**9)}" for _ in range(i + 1)]
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("low", "high", "depths"), [(0.96, 1.0, [8]), (0.8, 1.0, [8, 6]), (0.8, 0.92, [8, 5])])
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, monkeypatch, low, high, depths):
+    rng = random.Random(3)
+    texts = []
+    while len(texts) < 400:
+        n = 100
+        same = int(n * rng.uniform(low + 0.01, high))
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        # the last words differ, so the similarity of the shingles is known
+        other = base[: same + 4] + [f"y{rng.randrange(10**9)}" for _ in range(n - same)]
+        if brute.similar({0: brute.shingles(" ".join(base)), 1: brute.shingles(" ".join(other))}, low):
+            texts += [" ".join(base), " ".join(other)]
+    rows = list(enumerate(texts))
+    seen = []
+    real = ngram_join.link_groups
+    def spy(*a, marks, **how):
+        seen.append(marks)
+        return real(*a, marks=marks, **how)
+    at_depth, asked = ngram_join._Forest.at_depth, []
+    monkeypatch.setattr(ngram_join._Forest, "at_depth", lambda self, d: asked.append(d) or at_depth(self, d))
+    monkeypatch.setattr(ngram_join, "link_groups", spy)
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == sorted(brute.near(rows), key=repr)
+    assert sorted(set(asked), reverse=True) == depths and len(seen) == len(depths)
+
+
+def test_sorted_tries(spark):
+    rng = random.Random(8)
+    texts = [t for _ in range(12) for t in alike(rng, 6)]
+    forest = ngram_join._Forest(5, 24, 8, 2, 64)
+    sets, names = forest.split([t.encode() for t in texts])
+    signature = forest.signatures(sets, 8)
+    items = [(n, s.astype(">u2").tobytes(), (1 << 24) - 1) for n, s in zip(names, signature, strict=True)]
+    got = forest.tries(spark.createDataFrame(items, "item binary, marks binary, trees int"), Stages(spark, "t")).collect()
+    want = {}
+    for i in range(len(texts)):
+        for t in range(24):
+            depth = max(next((d for d in range(8) if signature[i, t, d] != signature[j, t, d]), 8) for j in range(len(texts)) if j != i)
+            if depth >= 2:
+                want[names[i], int(forest.keys(signature)[i, t, 7].view("int64"))] = depth
+    assert {(bytes(r.item), r["keys"][-1]): r.depth for r in got} == want
+
+
+def test_measured_recall(docs, rows):
+    """Links found over the whole table against brute force, at three thresholds."""
+    for threshold in (0.6, 0.8, 0.9):
+        want = sum(n for *_, n in brute.near(rows, threshold))
+        got = sum(r.n_links for r in ngram_join.near_duplicates(docs, threshold=threshold, target=0.99).collect())
+        assert 0.97 * want <= got <= want
 
 
 def test_components(spark):
