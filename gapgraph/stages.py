@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """The session's spark.checkpoint.dir, or a temporary folder where that is unset and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="gapgraph-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -34,9 +37,10 @@ class Stages:
     def _fs(self, where: str):
         return self._path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """The table, written and read again; ``parts`` bounds its files, for tables that are small beside their shuffle."""
         where = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(where)
+        (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
