@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
+from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages, release
 from gapgraph.llm.hashing import U, grams, minhash, mix
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
@@ -188,20 +188,21 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
     """(lines, chunks, nodes, kept): nodes have a row per line, kept (item, place) the line that stays for each named item."""
     stages = Stages(docs.sparkSession, "line-dedup")
     lines = _Lines(shingle, bands, rows, bucket_count(docs))
+    some, few = work_parts(lines.buckets), light_parts(lines.buckets)
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars, others), "chunks")
-    found = stages.write(ask(chunks, lines.ask_bands, lines.answer_bands), "bands")
-    nodes = stages.write(each_chunk(with_replies(chunks, found), lines.nodes, _NODES), "nodes")
+    found = stages.write(ask(chunks, lines.ask_bands, lines.answer_bands), "bands", some)
+    nodes = stages.write(each_chunk(with_replies(chunks, found), lines.nodes, _NODES), "nodes", some)
     full = nodes.filter("content is not null").groupBy("item").agg(F.first("content").alias("content"), F.first("marks").alias("marks"), F.first("groups").alias("groups"))
-    items = stages.write(full.withColumn("weight", F.lit(1).cast("long")), "items")
+    items = stages.write(full.withColumn("weight", F.lit(1).cast("long")), "items", some)
     k = lines.k
-    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda some: shingles(some, k), stages, 4 * lines.buckets), "links")
+    links = stages.write(link_groups(items.select(F.explode("groups").alias("group"), "item"), items, threshold, lambda some: shingles(some, k), stages, 4 * lines.buckets), "links", some)
     stages.drop(*WORK_TABLES)
-    labels = components(stages, links)
+    labels = components(stages, links, few)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "chunk", "row", "line")
     first = nodes.filter("item is not null").groupBy("item").agg(F.min(place).alias("place"))
-    labelled = stages.write(first.join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "place"), "labelled")
-    best = stages.write(labelled.groupBy("label").agg(F.min("place").alias("place")), "best")
-    return lines, chunks, nodes, stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept")
+    labelled = stages.write(first.join(labels, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "place"), "labelled", some)
+    best = stages.write(labelled.groupBy("label").agg(F.min("place").alias("place")), "best", some)
+    return lines, chunks, nodes, stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept", some)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gapgraph.llm.chunks import light_parts
 from gapgraph.llm.common import Stages, release
 
 #: Items of a block. A group of n items is compared block by block, (n / BLOCK)^2 / 2 tasks' worth of rows.
@@ -50,7 +51,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
+def _units(members: DataFrame, stages: Stages, block: int, files: int) -> DataFrame:
     """(group, item, blocks, whole): what is compared together, in how many blocks.
 
     Groups with the same members are compared once. Groups that share items form a candidate component;
@@ -61,14 +62,14 @@ def _units(members: DataFrame, stages: Stages, block: int) -> DataFrame:
     hashed = members.withColumn("h", F.xxhash64("item"))
     sizes = hashed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(1 << 31))).alias("s"), F.min("h").alias("root"))
     once = sizes.filter("n > 1").groupBy("n", "x", "s").agg(F.min("group").alias("group"), F.min("root").alias("root")).select("group", "root", "n")
-    kept = stages.write(hashed.join(once, "group"), "groups")
-    labels = components(stages, kept.select(F.col("h").alias("item"), "root"), "candidates")
+    kept = stages.write(hashed.join(once, "group"), "groups", files)
+    labels = components(stages, kept.select(F.col("h").alias("item"), "root"), files, "candidates")
     labels = labels.select(F.col("item").alias("h"), "label")
-    labelled = stages.write(kept.select("group", "item", "n", "h").join(labels, "h").drop("h"), "labelled-groups")
+    labelled = stages.write(kept.select("group", "item", "n", "h").join(labels, "h").drop("h"), "labelled-groups", files)
     per_label = labelled.groupBy("label").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
     size = labelled.select("label", "item").distinct()
     sizes = size.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    whole = stages.write(sizes.join(per_label, "label").filter(F.col("size") * F.ceil(F.col("size") / block) <= F.col("sent")).select("label", "size"), "whole")
+    whole = stages.write(sizes.join(per_label, "label").filter(F.col("size") * F.ceil(F.col("size") / block) <= F.col("sent")).select("label", "size"), "whole", files)
     as_one = size.join(whole, "label").select(F.col("label").alias("group"), "item", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.lit(True).alias("whole"))
     apart = labelled.join(whole, "label", "left_anti").select("group", "item", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(False).alias("whole"))
     return as_one.unionByName(apart)
@@ -97,7 +98,7 @@ def link_groups(
     pairs that share one of the ``seen`` groups are left out. What is large is cut into blocks, and two
     blocks are a task's work; what fits a block is dealt out to ``parts`` lots.
     """
-    placed = _units(members, stages, block).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    placed = _units(members, stages, block, light_parts(parts // 4)).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     pairs = placed.select("group", "whole", "blocks", "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lot = F.when(F.col("blocks") == 1, F.pmod("group", F.lit(parts)).cast("long")).otherwise(F.col("group"))
     pairs = pairs.select(lot.alias("lot"), (F.col("blocks") == 1).alias("small"), "group", "whole", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -153,7 +154,7 @@ def link_groups(
     return full.groupBy("lot", "small", "low", "high").applyInArrow(verify, "item binary, root binary, links long, pairs long, weights array<long>")
 
 
-def components(stages: Stages, links: DataFrame, name: str = "components") -> DataFrame:
+def components(stages: Stages, links: DataFrame, files: int, name: str = "components") -> DataFrame:
     """(item, label): the component of each item that stands in a row (item, root) with two different items.
 
     Distributed union-find by contraction. In each round every node hooks to its least neighbour, one
@@ -162,15 +163,15 @@ def components(stages: Stages, links: DataFrame, name: str = "components") -> Da
     written at the end, and the rounds' tables go. A hot node costs one row a task, since minima are taken before the shuffle.
     """
     edges = links.filter("item <> root").select(F.col("item").alias("u"), F.col("root").alias("v"))
-    edges = stages.write(edges.union(edges.select("v", "u")).distinct(), f"{name}-edges0")
+    edges = stages.write(edges.union(edges.select("v", "u")).distinct(), f"{name}-edges0", files)
     hooks = []
     while not edges.isEmpty():
         k = len(hooks)
-        hook = stages.write(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), f"{name}-hook{k}")
+        hook = stages.write(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), f"{name}-hook{k}", files)
         hooks.append(hook)
         left = edges.join(hook, "u").select(F.col("p").alias("a"), "v")
         both = left.join(hook.select(F.col("u").alias("v"), F.col("p").alias("b")), "v").filter("a <> b")
-        edges = stages.write(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges{k + 1}")
+        edges = stages.write(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges{k + 1}", files)
         stages.drop(f"{name}-edges{k}")
     stages.drop(f"{name}-edges{len(hooks)}")
     if not hooks:
@@ -179,6 +180,6 @@ def components(stages: Stages, links: DataFrame, name: str = "components") -> Da
     for hook in hooks[1:]:
         step = hook.select(F.col("u").alias("label"), "p")
         labels = labels.join(step, "label", "left").select("item", F.coalesce("p", "label").alias("label"))
-    labels = stages.write(labels, f"{name}-labels")
+    labels = stages.write(labels, f"{name}-labels", files)
     stages.drop(*(f"{name}-hook{k}" for k in range(len(hooks))))
     return labels

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
+from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages, release, slices
 from gapgraph.llm.hashing import U, Powers, Words, minhash, mix, windows
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
@@ -246,7 +246,7 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
     only pairs that no earlier one has: under nodes that branch between its depth and the last one's. At
     the floor, which promises the target for any pair, it ends.
     """
-    tries = stages.write(forest.tries(items, stages), "depths")
+    tries = stages.write(forest.tries(items, stages), "depths", work_parts(forest.buckets))
     depth, last, found = forest.labels, None, None
     while True:
         key = F.col("keys")[depth - forest.floor]
@@ -255,7 +255,7 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
             branching = members.groupBy("group").agg(F.min("child").alias("a"), F.max("child").alias("b")).filter("a <> b").select("group")
             members = members.join(branching, "group", "left_semi").select("group", "item")
         links = link_groups(members, items, threshold, forest.shingles, stages, 4 * forest.buckets, marks=forest.at_depth(depth), seen=forest.at_depth(last) if last else None, weigh=forest.misses)
-        links = stages.write(links, f"links{depth}")
+        links = stages.write(links, f"links{depth}", work_parts(forest.buckets))
         stages.drop(*WORK_TABLES)
         found = links if found is None else found.unionByName(links)
         if depth == forest.floor:
@@ -269,19 +269,20 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
 
 def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
     """(nodes: a row per document with its set), (classes: item, label, class_id, n_links)."""
-    found = stages.write(ask(chunks, forest.prefixes, forest.answer_prefixes), "prefixes")
-    nodes = stages.write(each_chunk(with_replies(chunks, found), forest.nodes, _NODES), "nodes")
+    some, few = work_parts(forest.buckets), light_parts(forest.buckets)
+    found = stages.write(ask(chunks, forest.prefixes, forest.answer_prefixes), "prefixes", some)
+    nodes = stages.write(each_chunk(with_replies(chunks, found), forest.nodes, _NODES), "nodes", some)
     stages.drop("prefixes")
-    sets = stages.write(nodes.groupBy("item").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least")), "sets")
+    sets = stages.write(nodes.groupBy("item").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least")), "sets", some)
     full = nodes.filter("content is not null").groupBy("item").agg(F.first("content").alias("content"), F.first("marks").alias("marks"), F.max("trees").alias("trees"))
-    items = stages.write(full.join(sets.select("item", "weight"), "item"), "items")
+    items = stages.write(full.join(sets.select("item", "weight"), "item"), "items", some)
     links = _links(stages, items, forest, threshold, target)
-    labels = components(stages, links)
+    labels = components(stages, links, few)
     degree = links.groupBy("item").agg(F.sum("links").alias("links"))
     classed = sets.join(labels, "item", "left").join(degree, "item", "left")
-    classed = stages.write(classed.select("item", F.coalesce("label", "item").alias("label"), "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classed")
-    least = stages.write(classed.groupBy("label").agg(F.min("least").alias("class_id")), "least")
-    return nodes, stages.write(classed.join(least, "label").select("item", "label", "class_id", "n_links"), "classes")
+    classed = stages.write(classed.select("item", F.coalesce("label", "item").alias("label"), "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classed", some)
+    least = stages.write(classed.groupBy("label").agg(F.min("least").alias("class_id")), "least", some)
+    return nodes, stages.write(classed.join(least, "label").select("item", "label", "class_id", "n_links"), "classes", some)
 
 
 def _forest(docs: DataFrame, threshold: float, trees: int, labels: int, target: float, shingle: int) -> _Forest:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapgraph.llm.common import GAPS
+from gapgraph.llm.common import GAPS, Stages
 
 #: A line is boilerplate on a host if it is in more distinct documents than both limits.
 MIN_DOCS = 20
@@ -17,6 +17,11 @@ MIN_KEPT = 0.5
 #: Words of a repeated window, and the percentage of words in such windows that fails a text.
 WINDOW = 8
 MAX_REPEAT = 30
+#: Frequent lines of one host, and of all, up to which they are broadcast (8 bytes each); beyond it they are joined.
+HOST_LINES = 256
+BROADCAST_LINES = 1 << 19
+#: Files of the written table of frequent lines.
+FREQUENT_FILES = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,47 +93,65 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), GAPS, " "))
 
 
-def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(doc_id, host, text_hash, pos, line_words) of each line above its host's limit.
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(normal_line(line))
 
-    rows: doc_id, host, text. A document (a doc_id; the null ids of a host are one) counts once for a
-    line, and copies of a text are documents of their own. Counting pre-aggregates before each shuffle;
-    a frequent line of a hot host is one row for each document and task, spread by the document.
+
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, line_hash) of the lines above their host's limits; rows: doc_id, host, text.
+
+    A document (a doc_id; the null ids of a host are one) counts once for a line, and copies of a text
+    are documents of their own. Counting pre-aggregates before each shuffle; a frequent line of a hot host
+    is one row for each document and task, spread by the document.
     """
     document = F.struct("doc_id")
-    lines = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("doc_id", "host", "text_hash", "pos", normal_line(F.col("line")).alias("line")).filter("line <> ''")
-    lines = lines.select("doc_id", "host", "text_hash", "pos", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).cast("long").alias("line_words"))
+    lines = rows.select("doc_id", "host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
+    lines = lines.select("doc_id", "host", normal_line(F.col("line")).alias("line")).filter("line <> ''").select("doc_id", "host", F.xxhash64("line").alias("line_hash"))
     sizes = rows.groupBy("host").agg(F.count_distinct(document).alias("_docs"))
     counts = lines.groupBy("host", "line_hash").agg(F.count_distinct(document).alias("_n")).filter(F.col("_n") > min_docs)
-    frequent = counts.join(sizes, "host").filter(F.col("_n") > max_share * F.col("_docs")).select("host", "line_hash")
-    return lines.join(frequent, ["host", "line_hash"]).select("doc_id", "host", "text_hash", "pos", "line_words")
-
+    return counts.join(sizes, "host").filter(F.col("_n") > max_share * F.col("_docs")).select("host", "line_hash")
 
-def _on_key(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on id, host and text hash; right's keys are named _id, _host, _hash."""
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("text_hash") == F.col("_hash"))
-    return left.join(right, match, "left").drop("_id", "_host", "_hash")
 
+def _with_places(rows: DataFrame, frequent: DataFrame, host_lines: int, broadcast_lines: int) -> DataFrame:
+    """Adds to rows (doc_id, host, text, ...) the sorted ``places`` of boilerplate lines in the text, null if there are none.
 
-def _verdict(removed: Column) -> Column:
-    left = F.col("n_words") - removed
-    return ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= MIN_KEPT * F.col("n_words"))
-
-
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    While all hosts' lines are few (a written table of counted size) they are broadcast, a list for each
+    host, and nothing else moves. Beyond that the lines that are boilerplate are joined back by row.
+    """
+    many = frequent.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (many[0] or 0) <= host_lines and (many[1] or 0) <= broadcast_lines:
+        lists = frequent.groupBy("host").agg(F.sort_array(F.collect_list("line_hash")).alias("_list"))
+        found = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.when(F.array_contains(F.col("_list"), _line_hash(x)), i)), lambda i: i.isNotNull())
+        joined = rows.join(F.broadcast(lists), "host", "left").withColumn("places", F.when(F.col("_list").isNotNull(), found)).drop("_list")
+        return joined.withColumn("places", F.when(F.size("places") > 0, F.col("places")))
+    lines = rows.select("doc_id", "host", F.xxhash64("text").alias("_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select("doc_id", "host", "_hash", "pos", _line_hash(F.col("line")).alias("line_hash")).join(frequent, ["host", "line_hash"])
+    places = lines.distinct().groupBy("doc_id", "host", "_hash").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    places = places.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), "_hash", "places")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.xxhash64("text") == F.col("_hash"))
+    return rows.join(places, match, "left").drop("_id", "_host", "_hash")
+
+
+def _judged(rows: DataFrame, frequent: DataFrame, host_lines: int, broadcast_lines: int) -> DataFrame:
+    """Adds the base counts, places, n_boiler_words and kept."""
+    counted = base_counts(_with_places(rows, frequent, host_lines, broadcast_lines))
+    at_places = F.transform("places", lambda p: F.size(words(F.get(F.col("_l"), p))))
+    removed = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.aggregate(at_places, F.lit(0), lambda a, x: a + x)).cast("long")
+    counted = counted.withColumn("_l", F.when(F.col("places").isNotNull(), _lines(F.col("text")))).withColumn("n_boiler_words", removed)
+    left = F.col("n_words") - F.col("n_boiler_words")
+    return counted.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= MIN_KEPT * F.col("n_words")))
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, host_lines: int = HOST_LINES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """doc_id, the base counts, base_failed, n_boiler_words and kept, one row per row.
 
     A null text is empty (no words, so it fails); a null host is the host ""; repeated rows get
     equal verdicts; an empty table gives no rows; other columns are not read. The text itself is
-    never shuffled.
+    not shuffled while the hosts' frequent lines are few.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), _text(docs, text_col).alias("text"))
-    found = boilerplate(rows, min_docs, max_share).distinct().groupBy("doc_id", "host", "text_hash").agg(F.sum("line_words").alias("boiler"))
-    counted = base_counts(rows.withColumn("text_hash", F.xxhash64("text"))).drop("text")
-    joined = _on_key(counted, found.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "boiler"))
-    removed = F.coalesce("boiler", F.lit(0)).cast("long")
-    return joined.withColumn("n_boiler_words", removed).withColumn("kept", _verdict(removed)).drop("text_hash", "host", "boiler")
+    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows, min_docs, max_share), "frequent", FREQUENT_FILES)
+    return _judged(rows, frequent, host_lines, broadcast_lines).drop("text", "host", "places", "_l")
 
 
 def _without(lines: Column, places: Column) -> Column:
@@ -138,7 +161,7 @@ def _without(lines: Column, places: Column) -> Column:
     return _let(flags, lambda f: F.filter(lines, lambda _, i: F.substring(f, i + 1, F.lit(1)) != F.lit(b"1")))
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, host_lines: int = HOST_LINES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The kept rows of ``docs`` with all their columns, boilerplate lines removed from the text.
 
     Rows go if they fail the base rules or are depleted; so do null, empty and blank texts, which have
@@ -147,12 +170,8 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = own.select("_row", F.col("_row")[id_col].alias("doc_id"), F.coalesce(F.col("_row")[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")).alias("text"))
-    found = boilerplate(rows.select("doc_id", "host", "text"), min_docs, max_share).distinct()
-    found = found.groupBy("doc_id", "host", "text_hash").agg(F.sum("line_words").alias("boiler"), F.sort_array(F.collect_list("pos")).alias("places"))
-    counted = base_counts(rows.withColumn("text_hash", F.xxhash64("text")))
-    kept = _on_key(counted.filter(~F.col("base_failed")), found.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "boiler", "places"))
-    kept = kept.filter(_verdict(F.coalesce("boiler", F.lit(0))))
-    left = F.array_join(_without(_lines(F.col("text")), F.col("places")), "\n")
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(left)
-    kept = kept.select("_row", text.alias("_text"))
+    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows.select("doc_id", "host", "text"), min_docs, max_share), "frequent", FREQUENT_FILES)
+    kept = _judged(rows, frequent, host_lines, broadcast_lines).filter("kept")
+    left = F.array_join(_without(F.col("_l"), F.col("places")), "\n")
+    kept = kept.select("_row", F.when(F.col("places").isNull(), F.col("text")).otherwise(left).alias("_text"))
     return kept.select(*(F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))

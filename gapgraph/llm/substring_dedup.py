@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies
+from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages
 from gapgraph.llm.hashing import Powers, Words, windows
 
@@ -224,9 +224,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, s: int, chunk_
     stages = Stages(docs.sparkSession, "substrings")
     run = _Dedup(k, s, bucket_count(docs))
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars), "chunks")
-    seeds = stages.write(ask(chunks, run.seeds, run.answer_seeds), "seeds")
-    edges = stages.write(ask(with_replies(chunks, seeds), run.edges, run.answer_edges), "edges")
-    paths = stages.write(ask(with_replies(chunks, seeds, edges), run.paths, run.answer_paths), "paths")
+    seeds = stages.write(ask(chunks, run.seeds, run.answer_seeds), "seeds", work_parts(run.buckets))
+    edges = stages.write(ask(with_replies(chunks, seeds), run.edges, run.answer_edges), "edges", work_parts(run.buckets))
+    paths = stages.write(ask(with_replies(chunks, seeds, edges), run.paths, run.answer_paths), "paths", work_parts(run.buckets))
     return run, with_replies(chunks, seeds, edges, paths)
 
 

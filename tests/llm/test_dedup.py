@@ -164,7 +164,7 @@ def test_components(spark):
     for a, b in pairs:
         u.join(a, b)
     df = spark.createDataFrame([(bytes([a // 256, a % 256, 77]), bytes([b // 256, b % 256, 77])) for a, b in pairs], "item binary, root binary")
-    got = {r.item[0] * 256 + r.item[1]: bytes(r.label) for r in near.components(Stages(spark, "t"), df).collect()}
+    got = {r.item[0] * 256 + r.item[1]: bytes(r.label) for r in near.components(Stages(spark, "t"), df, 4).collect()}
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     assert set(got) == nodes
     assert len({(u.find(x), got[x]) for x in nodes}) == len({u.find(x) for x in nodes}) == len({got[x] for x in nodes})

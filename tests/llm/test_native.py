@@ -44,8 +44,9 @@ def test_line_frequency(spark):
     kept = {i for i, k, _ in want if k}
     # 30 documents with a line are over the limit, though their texts are equal; 20 are not
     assert not kept & set(range(100, 130)) and kept >= set(range(150, 170)) | set(range(200, 230))
-    got = sorted(tuple(r) for r in quality_rules.clean_documents(df).select("doc_id", "text").collect())
-    assert got == sorted((i, t) for i, k, t in want if k)
+    for host_lines in (256, 0):
+        got = sorted(tuple(r) for r in quality_rules.clean_documents(df, host_lines=host_lines).select("doc_id", "text").collect())
+        assert got == sorted((i, t) for i, k, t in want if k)
 
 
 def test_rows_of_one_document_count_once(spark):
@@ -64,9 +65,10 @@ def test_boilerplate_at_many_places(spark):
 
 
 def test_quality_of_odd_rows(odd, none):
-    out = quality_rules.clean_documents(odd)
-    assert out.schema.names == odd.schema.names
-    assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr) == sorted([1, 1, 2, None], key=repr)
+    for how in ({}, {"host_lines": -1}):
+        out = quality_rules.clean_documents(odd, **how)
+        assert out.schema.names == odd.schema.names
+        assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr) == sorted([1, 1, 2, None], key=repr)
     assert quality_rules.quality_verdicts(none).count() == quality_rules.clean_documents(none).count() == 0
 
 
