@@ -21,18 +21,32 @@ def extract(df, **how):
     return {r.page_id: r.text for r in html_extract.extract_main_text(df, **how).collect()}
 
 
+def article(source):
+    """The blocks of the one article element that every page of the tables has."""
+    inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", source)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inner)]
+    return "\n\n".join(x for x in blocks if x)
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     got = html_extract.extract_main_text(df).collect()
-    want = {}
-    for r in df.collect():
-        inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", r.html)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inner)]
-        want[r.page_id] = (r.url, "\n\n".join(x for x in blocks if x))
-    assert {r.page_id: (r.url, r.text) for r in got} == want
+    assert {r.page_id: (r.url, r.text) for r in got} == {r.page_id: (r.url, article(r.html)) for r in df.collect()}
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("elements", ["article", "article|nav|footer"])
+def test_table_without_marks(spark, sf, elements):
+    """Pages whose elements and classes say little or nothing: the wrapper finds the article, what stands outside marked elements doesn't make it."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    plain = [re.sub(rf"<(/?)(?:{elements})\b", r"<\1div", r.html).replace(' class="ad"', "") for r in rows]
+    got = extract(pages(spark, [(r.page_id, r.url, x) for r, x in zip(rows, plain, strict=True)]))
+    assert sum(got[r.page_id] == article(r.html) for r in rows) >= 0.95 * len(rows)
+    for r, x in zip(rows, plain, strict=True):
+        _, blocks, flags = html_extract.read_page(x)
+        assert "\n\n".join(t for (_, t, _), f in zip(blocks, flags, strict=True) if not f & 1) != article(r.html)
+
+
 def site(k, body, host="h.example"):
     """A page without an article element; its template is only known by the other pages."""
     return (
@@ -59,19 +73,38 @@ def test_joined_by_host(spark):
     assert extract(pages(spark, rows), broadcast_bytes=0) == {k: f"Body {k}" for k in range(8)}
 
 
-def test_near_copies_of_an_article(spark):
-    shared = [f"Paragraph {j} of the story that many pages have" for j in range(6)]
-    def page(k, paragraphs):
-        return k, f"https://copies.example/{k}", "<body><div>Daily Planet</div><article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article></body>"
-    bodies = {k: [*shared[:3], f"By reader {k}", *shared[3:]] for k in range(8)} | {k: [f"Own text {k}", shared[0]] for k in range(8, 12)}
+@pytest.mark.parametrize("element", ["article", "div"])
+@pytest.mark.parametrize("others", [4, 0])
+def test_near_copies_of_an_article(spark, element, others):
+    shared = ["The title of the story", *(f"Paragraph {j} of the story. It has sentences of its own, as all pages of it say. Number {j}." for j in range(6))]
+
+    def page(k, parts):
+        inner = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+        return k, f"https://copies.example/{k}", f"<body><div class=top>Daily Planet</div><{element}>{inner}</{element}><div class=end>All rights reserved</div></body>"
+
+    bodies = {k: [*shared[:3], f"Our reporter {k} was there.", *shared[3:]] for k in range(6)}
+    bodies |= {6 + k: [f"Title {k}", *(f"Own text {k} of paragraph {j}. No other page has it." for j in range(5)), shared[1]] for k in range(others)}
     assert extract(pages(spark, [page(k, b) for k, b in bodies.items()])) == {k: "\n\n".join(b) for k, b in bodies.items()}
 
 
+@pytest.mark.parametrize("element", ["article", "div class=story"])
+def test_constant_slot_in_the_article_is_template(spark, element):
+    def page(k):
+        own = "".join(f"<p>Sentence {j} of page {k}. It is like no other, {k}.</p>" for j in range(3))
+        return k, "https://tpl.example/", f"<body><div>Site</div><{element}><h1>Head {k}</h1><div>Share this story with friends</div>{own}</{element.split()[0]}></body>"
+
+    for n in (2, 9):
+        got = extract(pages(spark, [page(k) for k in range(n)]))
+        assert got == {k: "\n\n".join([f"Head {k}", *(f"Sentence {j} of page {k}. It is like no other, {k}." for j in range(3))]) for k in range(n)}
+    # one page proves nothing
+    assert "Share this story" in extract(pages(spark, [page(1)]))[1]
+
+
 def test_copies_make_no_template(spark):
     same = "<p>First of a story</p><p>Second of it</p>"
-    rows = [site(k, same) for k in range(10)] + [site(10, "<p>Body 10</p><p>First of a story</p>")] + [site(k, f"<p>Body {k}</p>") for k in range(11, 18)]
+    rows = [site(k, same) for k in range(10)] + [site(10, "<p>Body 10</p><p>First of a story</p>")] + [site(k, f"<p>Body {k}. It is short.</p>") for k in range(11, 18)]
     got = extract(pages(spark, rows))
-    assert got[3] == "First of a story\n\nSecond of it" and got[10] == "Body 10\n\nFirst of a story" and got[12] == "Body 12"
+    assert got[3] == "First of a story\n\nSecond of it" and got[10] == "Body 10\n\nFirst of a story" and got[12] == "Body 12. It is short."
 
 
 def test_odd_pages(spark):
@@ -86,19 +119,62 @@ def test_odd_pages(spark):
 def test_roles_and_names():
     page = """<body><div class="siteHeader">site</div><div class=header>top</div><main><p>crumb</p><article><div class="article-header"><h1>Head</h1></div>
     <p>Text<button>Buy</button></p><div style="display: none">secret</div><p hidden>gone</p><div class="newsletter-box">join</div><select><option>x</select></article></main></body>"""
-    assert html_extract.main_text(page, None, set()) == "Head\n\nText"
-    assert html_extract.main_text("<header>h</header><main><p>only main</p></main><p>other</p>", None, set()) == "only main"
+    assert html_extract.main_text(page) == "Head\n\nText"
+    assert html_extract.main_text("<header>h</header><main><p>only main</p></main><p>other</p>") == "only main"
+    # a mark that holds little of the text is not believed
+    assert html_extract.main_text("<div><h1>Head</h1><p>A long text of the page, which has a teaser</p></div><article><p>teaser</p></article>") == "Head\n\nA long text of the page, which has a teaser"
 
 
-def test_deep_page():
-    assert "x" in html_extract.main_text("<p>x" + "<i>" * 5000, None, set())
-
-
-def test_tree_matching():
-    a = ["r", [["a", []], ["b", [["c", []]]], ["d", []]]]
-    b = ["r", [["b", [["c", []]]], ["x", []], ["d", []]]]
-    assert html_extract._match(a, b) == (4, [(1, 0), (2, 2)])
-    assert html_extract._match(a, ["s", []]) == (0, [])
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "<h1>Head</h1><p>Text"
+    wide = "<h1>Head</h1>" + "".join(f"<div class=c{i}><p>block {i}</p></div>" if i % 2 else f"<p>block {i}" for i in range(20000))
+    rows = [(k, "https://odd.example/", x) for k, x in enumerate([deep, deep.replace("Text", "Other").replace("Head", "Title"), wide, wide.replace("block 7<", "other<"), "<i>" * 5000 + "x"])]
+    got = extract(pages(spark, rows))
+    assert got[0] == "Head\n\nText" and got[1] == "Title\n\nOther" and got[4] == "x"
+    assert got[2].split("\n\n") == ["Head", *(f"block {i}" for i in range(20000))] and "other" in got[3]
+
+
+def tree(nested):
+    labels, parents = [], []
+    def walk(node, parent):
+        labels.append(node[0])
+        parents.append(parent)
+        at = len(labels) - 1
+        for kid in node[1:]:
+            walk(kid, at)
+    walk(nested, -1)
+    return html_extract.Tree(labels, parents)
+
+
+def largest(a, b):
+    """The size of the largest match, by trying for each child to leave it or pair it."""
+    if a[0] != b[0]:
+        return 0
+    def rows(x, y):
+        if not x or not y:
+            return 0
+        return max(rows(x[1:], y), rows(x, y[1:]), (s := largest(x[0], y[0])) and s + rows(x[1:], y[1:]))
+    return 1 + rows(a[1:], b[1:])
+
+
+def test_tree_matching_by_brute_force():
+    rng = random.Random(7)
+    def some(depth):
+        return (rng.choice("ab"), *(some(depth - 1) for _ in range(rng.randrange(4) if depth else 0)))
+    for _ in range(300):
+        a, b = ("r", *(some(2) for _ in range(3))), ("r", *(some(2) for _ in range(3)))
+        x, y = tree(a), tree(b)
+        matched = html_extract.Aligner().match(x, y)
+        assert sum(m >= 0 for m in matched) == largest(a, b)
+        for i, m in enumerate(matched):
+            if m >= 0:
+                assert x.labels[i] == y.labels[m] and (x.parents[i] < 0 or matched[x.parents[i]] == y.parents[m])
+        used = [m for m in matched if m >= 0]
+        assert used == sorted(set(used))
+        # the way for very wide elements keeps order and labels too
+        few = [m for m in html_extract.Aligner(full_pairs=0).match(x, y) if m >= 0]
+        assert few == sorted(set(few)) and len(few) <= len(used)
+    assert html_extract.Tree.read(x.write()).parents == x.parents
 
 
 def archive(spark, rows, **how):
