@@ -87,6 +87,17 @@ def test_near_copies_of_an_article(spark, element, others):
     assert extract(pages(spark, [page(k, b) for k, b in bodies.items()])) == {k: "\n\n".join(b) for k, b in bodies.items()}
 
 
+def test_near_copies_with_a_slot_for_each_paragraph(spark):
+    def page(k):
+        parts = [f"<p class=c{j}>Paragraph {j} of a story. All copies have it." for j in range(6)]
+        parts[2] = f"<p class=c2>Our reporter {k} was there."
+        return k, "https://each.example/", f"<body><div>Site</div><article><h1>Title of it</h1>{''.join(parts)}</article></body>"
+
+    for k, text in extract(pages(spark, [page(k) for k in range(6)])).items():
+        want = [f"Paragraph {j} of a story. All copies have it." if j != 2 else f"Our reporter {k} was there." for j in range(6)]
+        assert text.split("\n\n") == ["Title of it", *want]
+
+
 @pytest.mark.parametrize("element", ["article", "div class=story"])
 def test_constant_slot_in_the_article_is_template(spark, element):
     def page(k):
@@ -128,7 +139,7 @@ def test_roles_and_names():
 def test_deep_and_wide_pages(spark):
     deep = "<div>" * 5000 + "<h1>Head</h1><p>Text"
     wide = "<h1>Head</h1>" + "".join(f"<div class=c{i}><p>block {i}</p></div>" if i % 2 else f"<p>block {i}" for i in range(20000))
-    rows = [(k, "https://odd.example/", x) for k, x in enumerate([deep, deep.replace("Text", "Other").replace("Head", "Title"), wide, wide.replace("block 7<", "other<"), "<i>" * 5000 + "x"])]
+    rows = [(k, f"https://odd{k}.example/" if k > 2 else "https://odd.example/", x) for k, x in enumerate([deep, deep.replace("Text", "Other").replace("Head", "Title"), wide, wide.replace("block 7<", "other<"), "<i>" * 5000 + "x"])]
     got = extract(pages(spark, rows))
     assert got[0] == "Head\n\nText" and got[1] == "Title\n\nOther" and got[4] == "x"
     assert got[2].split("\n\n") == ["Head", *(f"block {i}" for i in range(20000))] and "other" in got[3]
