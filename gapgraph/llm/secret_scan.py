@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gapgraph.llm.common import Stages
+
 #: Alternatives followed at once while a regular expression is read; beyond it the strings so far become a query.
 MAX_STRINGS = 64
 #: Members of a character class that are told apart.
@@ -114,25 +116,28 @@ def trigram_query(pattern: str) -> Query:
     return _query(list(parser.parse(pattern)))
 
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, rules): for each text, the rules whose trigram query its postings meet.
+def _conjunctions(rules) -> list[tuple[str, int, list[str]]]:
+    """(rule, number, trigrams) of each conjunction of the rules' queries; rules without a query have none."""
+    return [(r.kind, i, sorted(part)) for r in rules if (query := trigram_query(r.pattern)) != ALL for i, part in enumerate(sorted(query, key=sorted))]
+
+
+def postings(rows: DataFrame, rules=RULES) -> DataFrame:
+    """The inverted index (trigram, doc_id, text_hash) of rows (doc_id, text_hash, text), for the trigrams of some query."""
+    wanted = sorted({t for _, _, part in _conjunctions(rules) for t in part})
+    low = rows.select("doc_id", "text_hash", F.lower("text").alias("low"))
+    there = F.filter(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda t: F.contains(F.col("low"), t))
+    return low.select(F.explode(there).alias("trigram"), "doc_id", "text_hash")
 
-    A posting is (trigram, document), kept for the trigrams of some query only. Postings are
-    intersected by counting, for each conjunction, the trigrams that meet in a document.
+
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(doc_id, text_hash, rules): for each text, the rules whose query its postings meet.
+
+    The postings of a conjunction's trigrams are intersected by counting those that meet in a document.
     """
-    wanted = [
-        F.struct(F.lit(t).alias("trigram"), F.lit(r.kind).alias("rule"), F.lit(i).alias("part"), F.lit(len(part)).alias("need"))
-        for r in rules
-        if (query := trigram_query(r.pattern)) != ALL
-        for i, part in enumerate(sorted(query, key=sorted))
-        for t in sorted(part)
-    ]
-    if not wanted:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("rules")).limit(0)
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    postings = low.select("doc_id", F.inline(F.filter(F.array(*wanted), lambda x: F.contains(F.col("low"), x.trigram))))
-    met = postings.groupBy("doc_id", "rule", "part", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need")
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    asked = [(t, kind, i, len(part)) for kind, i, part in _conjunctions(rules) for t in part]
+    queries = index.sparkSession.createDataFrame(asked, "trigram string, rule string, part int, need int")
+    met = index.distinct().join(F.broadcast(queries), "trigram").groupBy("doc_id", "text_hash", "rule", "part", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need")
+    return met.groupBy("doc_id", "text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -157,21 +162,38 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 
 def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kinds, matches): per row the matches array<struct<start, ord, end, kind>> by start, then rule order.
-
-    Rules with mandatory trigrams are verified only where the index names the document; the others
-    scan every text. The index can name too many documents, never too few: case is folded, and rows
-    that share an id (null included) share postings. A null text is empty; repeated rows give a row
-    each; an empty table gives none; other columns are not read.
+    """(doc_id, matches): per row the matches array<struct<start, ord, end, kind>> by start, then rule order.
+
+    Rules with mandatory trigrams are verified only where the index names the text; the others
+    scan every text. The index can name too many texts, never too few: case is folded. Its postings are
+    keyed by id and text, so rows of one id, null included, don't meet unless they are repeats. Texts that
+    hold the trigrams of some query are joined with the rules that name them; all others stay where
+    they are read. A null text is empty; repeated rows give a row each; an empty table gives none; other
+    columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    named = candidates(base, rules).select(F.col("doc_id").alias("_id"), "rules")
-    rows = base.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    indexed = [r for r in rules if trigram_query(r.pattern) != ALL]
+    if not indexed:
+        return _matches(rows, F.array().cast("array<string>"), rules)
+    index = Stages(docs.sparkSession, "trigrams").write(postings(rows, rules), "postings")
+    named = candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules")
+    low, some = F.lower("text"), F.lit(False)
+    for _, _, part in _conjunctions(rules):
+        every = F.lit(True)
+        for t in part:
+            every = every & F.contains(low, F.lit(t))
+        some = some | every
+    met = rows.filter(some).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    return _matches(rows.filter(~some), F.array().cast("array<string>"), rules).unionByName(_matches(met, F.col("rules"), rules))
+
+
+def _matches(rows: DataFrame, named: Column, rules) -> DataFrame:
+    """(doc_id, matches) of rows (doc_id, text): of the rules in ``named``, and of those without a query."""
     none = F.array().cast("array<struct<start:int,end:int>>")
     cols = []
     for r in rules:
-        named_here = F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), r.kind) if trigram_query(r.pattern) != ALL else F.col("text").rlike(r.pattern)
-        cols.append(F.when(named_here, _spans(F.col("text"), r)).otherwise(none).alias(f"_s_{r.kind}"))
+        here = F.array_contains(named, r.kind) if trigram_query(r.pattern) != ALL else F.col("text").rlike(r.pattern)
+        cols.append(F.when(here, _spans(F.col("text"), r)).otherwise(none).alias(f"_s_{r.kind}"))
     rows = rows.select("doc_id", *cols)
 
     def labelled(order: int, kind: str) -> Column:

@@ -4,45 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows that one ranked cell should hold; it sets how far a hot source is split, not what comes out.
-CELL_ROWS = 1000
-#: Cells whose offsets are added up by one task.
-FAN = 4096
+from gapgraph.llm.common import Stages
+
+#: Rows that one sorted range should hold; it sets how far the work is split, not what comes out.
+RANGE_ROWS = 1 << 18
 
 
 def _text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def _cell(rank_key: Column, cells: int) -> Column:
-    """Cell 0..cells-1 of a hexadecimal key, monotone in the key."""
-    head = F.conv(F.substring(rank_key, 1, 8), 16, 10).cast("long")
-    return F.floor(head * F.lit(cells) / F.lit(float(1 << 32))).cast("long")
-
-
-def _running(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
-    """Adds ``before``: the sum of n over smaller cells of the same ``by``. Two levels, so no task sees more than FAN cells or one row for each FAN."""
-    high = counts.withColumn("_hi", F.floor(F.col(cell) / FAN))
-    totals = high.groupBy(*by, "_hi").agg(F.sum("n").alias("_t"))
-    outer = Window.partitionBy(*by).orderBy("_hi").rowsBetween(Window.unboundedPreceding, -1)
-    inner = Window.partitionBy(*by, "_hi").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_hi", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_b"))
-    return (
-        high.withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(totals, [*by, "_hi"])
-        .select(*by, cell, (F.col("_b") + F.col("_in")).alias("before"))
-    )
+def _sorted(rows: DataFrame, stages: Stages, name: str, parts: int, *by: str) -> DataFrame:
+    """The rows, written, with ``part`` and ``idx``: the range of the sorted order that a row is in, and its place there."""
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id())
+    return stages.write(ordered.select(*rows.columns, F.shiftright("_n", 33).cast("int").alias("part"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("idx")), name)
 
 
-def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = CELL_ROWS) -> DataFrame:
+def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Assigns every row to a shard so that each shard holds every source in proportion.
 
     Rows of a source are put in a seeded random order (md5 of seed, id and text checksum) and
     get the fraction (rank - 1/2) / rows of the source. All rows are then sorted by fraction
     (ties: source, then the random order) and the sorted list is cut into ``shards`` runs whose
-    row counts differ by one at most. Source ranks and global positions come from ranks within
-    small cells plus running cell counts, so neither a hot source nor the whole table meets in
-    one task. Text stays where it was read: only its size and checksum are shuffled.
+    row counts differ by one at most. Both orders are sorts by ranges of all the sort columns and a row
+    number, so a hot source, millions of sources of one row and repeats of a row are split alike; ranks are a
+    row's place in its range plus the rows of the ranges before. Texts are read once and stay
+    where they are: their size and checksum are written and sorted.
 
     Null ids, sources and texts count as empty strings in the order (null source is its own
     source ""); repeated rows each get a slot; an empty table gives no rows. Only the three
@@ -50,25 +37,27 @@ def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col:
 
     Returns id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null), source.
     """
+    stages = Stages(docs.sparkSession, "shards")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         _text(source_col).alias("source"),
         (F.octet_length(_text(text_col)) + F.lit(8)).cast("long").alias("size"),
         F.crc32(_text(text_col)).alias("text_crc32"),
     ).withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))))
-    total = docs.count()
-    cells = max(1, total // cell_rows)
-    rows = rows.withColumn("_cell", _cell(F.col("_key"), cells))
-    per_cell = rows.groupBy("source", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    per_source = per_cell.groupBy("source").agg(F.sum("n").alias("_rows"))
-    starts = _running(per_cell, ["source"], "_cell").join(per_source, "source")
-    within = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(within)).join(starts, ["source", "_cell"])
-    ranked = ranked.withColumn("_frac", (2 * (F.col("before") + F.col("_rank")) - 1) / (2 * F.col("_rows"))).drop("before", "_rank", "_rows", "_cell")
-    placed = ranked.withColumn("_cell", F.floor(F.col("_frac") * cells).cast("long"))
-    offsets = _running(placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0)), ["_all"], "_cell").drop("_all")
-    order = Window.partitionBy("_cell").orderBy("_frac", "source", "_key", "doc_id", "size")
-    at = placed.withColumn("_row", F.row_number().over(order)).join(offsets, "_cell").withColumn("_at", F.col("before") + F.col("_row") - 1)
+    rows = stages.write(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    total = rows.count()
+    parts = max(8, total // range_rows)
+    placed = _sorted(rows, stages, "by-source", parts, "source", "_key", "doc_id", "size", "_row")
+    held = placed.groupBy("source", "part").agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("source", "part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("source")).alias("_rows"))
+    ranked = placed.join(held, ["source", "part"]).withColumn("_frac", (2 * (F.col("_before") + F.col("idx") - F.col("_first") + 1) - 1) / (2 * F.col("_rows")))
+    mixed = _sorted(ranked.select(*rows.columns, "_frac"), stages, "mixed", parts, "_frac", "source", "_key", "doc_id", "size", "_row")
+    stages.drop("rows", "by-source")
+    # one row for each range
+    starts = mixed.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    at = mixed.join(starts, "part").withColumn("_at", F.col("_start") + F.col("idx"))
     exact = F.expr(f"(_at * {shards}L) div {max(1, total)}L")
     first = F.expr(f"(_shard * {max(1, total)}L + {shards - 1}L) div {shards}L")
     return at.withColumn("_shard", exact).select(

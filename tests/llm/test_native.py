@@ -1,6 +1,7 @@
 """Quality rules, secret scan and sharding."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -109,9 +110,60 @@ def test_secrets(spark, docs, rows, odd):
         assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
 
 
-def test_more_rules(spark):
-    df = spark.createDataFrame([(0, SECRETS[4])], "doc_id long, text string")
-    assert secret_scan.secret_digest(secret_scan.scan_secrets(df)).first().spans == "pem:0:31,github:32:72,hex:36:72,slack:73:92"
+#: The rules beyond the base, written out as plain Python.
+MORE = {
+    "pem": "-----BEGIN ([A-Z]| )*PRIVATE KEY-----",
+    "github": "gh(p|o|u|s|r)_" + "[A-Za-z0-9]" * 36 + "[A-Za-z0-9]*",
+    "slack": "xox(a|b|p|r|s)-" + "[-A-Za-z0-9]" * 10 + "[-A-Za-z0-9]*",
+    "google": "AIza" + "[-_A-Za-z0-9]" * 35,
+    "jwt": r"eyJ(\w|-){8,}\.eyJ(\w|-){8,}\.(\w|-){8,}",
+}
+
+
+def every_span(t):
+    t = t or ""
+    found = base_spans(t) + [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(MORE.items(), 3) for m in re.finditer(p, t, re.ASCII)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_more_rules(spark, docs, rows):
+    rng = random.Random(4)
+    bits = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY", "ghp_", "ghx_", "xoxb-", "XOXB-", "AIza", "aiza", "eyJ", ".eyJ", ".", "a" * 36, "Z9" * 9, "-_" * 5, " ", "\n", "é"]
+    made = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))) for k in range(400)] + list(enumerate([*SECRETS, "x eyJabc_DEF-1.eyJabcdefgh.abcdefgh-_9 eyJabcdefg.eyJabcdefgh.abcdefgh"], 400))
+    for df, every in ((spark.createDataFrame(made, "doc_id long, text string"), made), (docs, rows)):
+        got = {r.doc_id: r.spans for r in secret_scan.secret_digest(secret_scan.scan_secrets(df)).collect()}
+        assert got == {i: every_span(t) for i, t in every}
+    assert {k for v in map(every_span, dict(made).values()) for k in MORE if k in v} == set(MORE)
+
+
+def test_index_names_few(spark):
+    rows = [(k, f"clean text number {k} has a pass and a word") for k in range(50)] + list(enumerate(SECRETS, 50)) + [(None, "akia but no kia"), (None, "password: abcdefgh"), (None, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = secret_scan.postings(df.withColumn("text_hash", F.xxhash64("text")))
+    named = {(r.doc_id, k) for r in secret_scan.candidates(index).collect() for k in r.rules}
+    assert {(51, "assign"), (None, "assign"), (None, "access"), (52, "access")} <= named and not {i for i, _ in named} & set(range(50))
+    got = sorted(((r.doc_id, len(r.matches)) for r in secret_scan.scan_secrets(df).collect()), key=repr)
+    assert got == sorted(((i, len([x for x in every_span(t).split(",") if x])) for i, t in rows), key=repr)
+    assert secret_scan.scan_secrets(df, rules=[r for r in secret_scan.RULES if r.kind == "hex"]).count() == len(rows)
+
+
+def test_many_sources_of_one_row(spark):
+    """Rows of one fraction, and repeats of one row, are dealt to many ranges."""
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("source")).union(spark.range(20000).select(F.lit(1).cast("long"), F.lit("same"), F.lit("hot")))
+    sizes = []
+    real = sharding._sorted
+    def spy(rows, stages, name, parts, *by):
+        out = real(rows, stages, name, parts, *by)
+        sizes.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+    sharding._sorted = spy
+    try:
+        got = sharding.interleave_shards(df, range_rows=2000)
+    finally:
+        sharding._sorted = real
+    assert max(sizes) < 6000 and len(sizes) == 40
+    count = Counter(r["shard"] for r in got.select("shard").collect())
+    assert sum(count.values()) == 40000 and max(count.values()) - min(count.values()) <= 1
 
 
 def test_trigram_queries():
@@ -148,8 +200,8 @@ def shards(rows, n=24, seed=42):
 def test_shards(docs, odd, none):
     for df in (docs, odd):
         every = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
-        for cell in (1000, 3):
-            got = sharding.interleave_shards(df, cell_rows=cell).drop("source").collect()
+        for held in (1 << 18, 30):
+            got = sharding.interleave_shards(df, range_rows=held).drop("source").collect()
             assert sorted(map(tuple, got), key=repr) == sorted(shards(every), key=repr)
     assert sharding.interleave_shards(none).count() == 0
 

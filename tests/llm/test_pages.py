@@ -1,5 +1,6 @@
 """HTML extraction and WARC archives."""
 
+import base64
 import hashlib
 import html
 import random
@@ -252,6 +253,27 @@ def test_salvage(records, packed):
     assert [(s, e) for s, e, status, *_ in found if status != "ok"][0] == (starts[3], starts[4])
 
 
+@pytest.mark.parametrize("how", ["hex", "base32"])
+def test_damage_under_a_sha1_block_digest(how):
+    def record(k):
+        block = f"HTTP/1.1 200 OK\r\n\r\nbody {k}".encode()
+        digest = hashlib.sha1(block).digest()
+        value = digest.hex() if how == "hex" else base64.b32encode(digest).decode()
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {warc.record_name(k)}\r\nWARC-Block-Digest: sha1:{value}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    own = [record(k) for k in range(3)]
+    assert names(warc.salvage(b"".join(own))) == [warc.record_name(k) for k in range(3)]
+    own[1] = own[1].replace(b"body 1", b"b0dy 1")
+    found = list(warc.salvage(b"".join(own)))
+    assert names(found) == [warc.record_name(0), warc.record_name(2)] and [x[2] for x in found if x[2] != "ok"] == ["the block digest differs"]
+
+
+def test_very_long_payload(spark):
+    big = "0123456789abcdef" * (17 << 16)
+    assert round_trip(spark, [(1, "u", big), (2, "u", big)]) == [(1, len(big), hashlib.sha256(big.encode()).hexdigest(), "response", None), (2, len(big), hashlib.sha256(big.encode()).hexdigest(), "revisit", 1)]
+
+
 def test_salvage_of_noise(records):
     rng = random.Random(0)
     for _ in range(20):
@@ -299,4 +321,6 @@ def test_salvage_of_one_broken_member(how):
 def test_gaps_are_rows(spark, tmp_path, records):
     (tmp_path / "part-0").write_bytes(records[0] + b"junk" + records[1])
     rows = warc.read_archives(spark, str(tmp_path)).orderBy("offset").collect()
+    log = warc.quarantine(warc.read_archives(spark, str(tmp_path))).collect()
+    assert [(r.offset, r.length, r.reason) for r in log] == [(len(records[0]), 4, "no record head")] and log[0].archive.endswith("part-0")
     assert [(r.offset, r.length, r.status == "ok") for r in rows] == [(0, len(records[0]), True), (len(records[0]), 4, False), (len(records[0]) + 4, len(records[1]), True)]
