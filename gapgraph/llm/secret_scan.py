@@ -14,6 +14,9 @@ from gapgraph.llm.common import Stages
 MAX_STRINGS = 64
 #: Members of a character class that are told apart.
 MAX_CLASS = 8
+#: Candidates up to which their list is broadcast (some 50 bytes each), and the files of its table.
+BROADCAST_ROWS = 1 << 17
+CANDIDATE_FILES = 64
 
 
 @dataclass(frozen=True)
@@ -161,30 +164,40 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda a: a["out"])
 
 
-def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, matches): per row the matches array<struct<start, ord, end, kind>> by start, then rule order.
 
     Rules with mandatory trigrams are verified only where the index names the text; the others
     scan every text. The index can name too many texts, never too few: case is folded. Its postings are
-    keyed by id and text, so rows of one id, null included, don't meet unless they are repeats. Texts that
-    hold the trigrams of some query are joined with the rules that name them; all others stay where
-    they are read. A null text is empty; repeated rows give a row each; an empty table gives none; other
+    keyed by id and text, so rows of one id, null included, don't meet unless they are repeats. While
+    the index names few texts (counted), their list is broadcast; beyond that, texts that hold the trigrams
+    of some query are joined with the rules that name them. All others stay where they are read. A null text is empty; repeated rows give a row each; an empty table gives none; other
     columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     indexed = [r for r in rules if trigram_query(r.pattern) != ALL]
     if not indexed:
         return _matches(rows, F.array().cast("array<string>"), rules)
-    index = Stages(docs.sparkSession, "trigrams").write(postings(rows, rules), "postings")
-    named = candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules")
-    low, some = F.lower("text"), F.lit(False)
-    for _, _, part in _conjunctions(rules):
-        every = F.lit(True)
-        for t in part:
-            every = every & F.contains(low, F.lit(t))
-        some = some | every
-    met = rows.filter(some).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    return _matches(rows.filter(~some), F.array().cast("array<string>"), rules).unionByName(_matches(met, F.col("rules"), rules))
+    stages = Stages(docs.sparkSession, "trigrams")
+    index = stages.write(postings(rows, rules), "postings")
+    named = stages.write(candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules"), "candidates", CANDIDATE_FILES)
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    no_rules = F.array().cast("array<string>")
+    if named.count() <= broadcast_rows:
+        return _matches(rows.join(F.broadcast(named), match, "left"), F.coalesce("rules", no_rules), rules)
+
+    def some(low: Column) -> Column:
+        any_ = F.lit(False)
+        for _, _, part in _conjunctions(rules):
+            every = F.lit(True)
+            for t in part:
+                every = every & F.contains(low, F.lit(t))
+            any_ = any_ | every
+        return any_
+
+    # in a lambda, so that the text is lowered once
+    met = F.exists(F.array(F.lower("text")), some)
+    return _matches(rows.filter(~met), no_rules, rules).unionByName(_matches(rows.filter(met).join(named, match), F.col("rules"), rules))
 
 
 def _matches(rows: DataFrame, named: Column, rules) -> DataFrame:

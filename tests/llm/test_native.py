@@ -142,8 +142,9 @@ def test_index_names_few(spark):
     index = secret_scan.postings(df.withColumn("text_hash", F.xxhash64("text")))
     named = {(r.doc_id, k) for r in secret_scan.candidates(index).collect() for k in r.rules}
     assert {(51, "assign"), (None, "assign"), (None, "access"), (52, "access")} <= named and not {i for i, _ in named} & set(range(50))
-    got = sorted(((r.doc_id, len(r.matches)) for r in secret_scan.scan_secrets(df).collect()), key=repr)
-    assert got == sorted(((i, len([x for x in every_span(t).split(",") if x])) for i, t in rows), key=repr)
+    for few in (1 << 17, 0):
+        got = sorted(((r.doc_id, len(r.matches)) for r in secret_scan.scan_secrets(df, broadcast_rows=few).collect()), key=repr)
+        assert got == sorted(((i, len([x for x in every_span(t).split(",") if x])) for i, t in rows), key=repr)
     assert secret_scan.scan_secrets(df, rules=[r for r in secret_scan.RULES if r.kind == "hex"]).count() == len(rows)
 
 
