@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.common import release
+from gapgraph.llm.common import compact, input_bytes, release
 
 #: Bytes of a chunk's texts; a longer text is a chunk of its own.
 CHUNK_CHARS = 2 << 20
@@ -25,42 +25,32 @@ ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 20
-#: The planner gives what it knows nothing of a size beyond any input.
-UNKNOWN_BYTES, UNKNOWN_BUCKETS = 1 << 60, 1 << 10
+#: Buckets for an input of unknown size.
+UNKNOWN_BUCKETS = 1 << 10
 
 Parts = Iterator[tuple[int, bytes]]
 
 
-def _input_bytes(docs: DataFrame) -> int | None:
-    """The planner's size of what the input reads (from file sizes, no job); None if it is unknown (an RDD)."""
-    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(sizes) if max(sizes, default=0) < UNKNOWN_BYTES else None
-
-
 def bucket_count(docs: DataFrame) -> int:
     """A power of two by the size of the input; one of unknown size gets UNKNOWN_BUCKETS."""
-    size = _input_bytes(docs)
+    size = input_bytes(docs)
     wanted = UNKNOWN_BUCKETS if size is None else size // BUCKET_BYTES
     return 1 << (min(MAX_BUCKETS, max(MIN_BUCKETS, wanted)) - 1).bit_length()
 
 
 def work_parts(buckets: int) -> int:
     """Tasks, and so files, of tables that are computed by bucket; those of ids alone take light_parts."""
-    return max(24, buckets // 4)
+    return max(12, buckets // 4)
 
 
 def light_parts(buckets: int) -> int:
-    return max(6, buckets // 16)
+    return max(3, buckets // 16)
 
 
 def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, others: list[str] | None = None) -> DataFrame:
     """(chunk, content): each content is a compressed Arrow table (doc_id, text, x0, x1, ...) with the ``others`` columns last."""
     more = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others or [])]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    size = _input_bytes(docs)
-    if size is not None:  # partitions of less than a few chunks would make small chunks
-        rows = rows.coalesce(max(24, size // (4 * chunk_chars)))
+    rows = compact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more))
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.common import release
+from gapgraph.llm.common import compact, release
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_SHARE = 0.1
@@ -181,7 +181,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     null item ids are left out; repeated documents are each reported, repeated items once per id and
     text; empty tables give no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = compact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     out = None
     for block in _blocks(items, item_id_col, item_text_col, block_chars):
         part = rows.mapInArrow(_search(block, share), SCHEMA)
@@ -222,7 +222,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     included, stay as they are.
     """
     names, place = docs.columns, docs.columns.index(text_col)
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any name may stand in docs
+    plain = compact(docs).toDF(*(f"c{i}" for i in range(len(names))))  # any name may stand in docs
     for block in _blocks(items, item_id_col, item_text_col, block_chars):
         plain = plain.mapInArrow(_cut(block, share, place, min_words), plain.schema)
     return plain.toDF(*names)

@@ -219,11 +219,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text has no lines; a null id stands behind all others; repeated rows are documents of their
     own; an empty table gives no rows; other columns are not read.
     """
-    _, _, nodes, kept = _decisions(docs, id_col, text_col, None, threshold, shingle, bands, rows, chunk_chars)
+    lines, _, nodes, kept = _decisions(docs, id_col, text_col, None, threshold, shingle, bands, rows, chunk_chars)
     alone = nodes.filter("item is null").select("doc_id", F.col("line").alias("line_no"), F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), F.lit(True).alias("kept"))
     named = nodes.filter("item is not null").select("chunk", "row", "line", "doc_id", "item").join(kept, "item")
     stays = (F.col("chunk") == F.col("place.chunk")) & (F.col("row") == F.col("place.row")) & (F.col("line") == F.col("place.line"))
-    return alone.unionByName(named.select("doc_id", F.col("line").alias("line_no"), F.col("place.doc_id").alias("class_doc"), F.col("place.line").alias("class_line"), stays.alias("kept")))
+    named = named.select("doc_id", F.col("line").alias("line_no"), F.col("place.doc_id").alias("class_doc"), F.col("place.line").alias("class_line"), stays.alias("kept"))
+    return alone.unionByName(named.coalesce(work_parts(lines.buckets)))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -256,4 +257,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield from pa.table(columns, names=schema.names).filter(pa.array(stay)).to_batches()
         release()
 
-    return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema)
+    return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema).coalesce(work_parts(lines.buckets))

@@ -6,7 +6,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
@@ -26,7 +25,7 @@ LABEL_BYTES = 2
 MISS_UNIT = 1_000_000
 
 _NODES = "chunk long, row int, doc_id long, item binary, content binary, marks binary, trees int"
-_TRIE = "part int, border boolean, tree int, path binary, item binary, left int, right int, keys array<long>"
+_TRIE = "border boolean, tree int, path binary, item binary, left int, right int, keys array<long>"
 
 
 def recall_at(depth: int, similarity, trees: int):
@@ -182,7 +181,7 @@ class _Forest:
 
         def neighbours(batches):
             held = pa.Table.from_batches(list(batches), schema=pa.schema([("tree", pa.int32()), ("path", pa.binary()), ("item", pa.binary())]))
-            n, part = held.num_rows, TaskContext.get().partitionId()
+            n = held.num_rows
             if not n:
                 return
             tree = held.column("tree").to_numpy()
@@ -198,14 +197,14 @@ class _Forest:
                     key = mix(key * U(0x9E3779B97F4A7C15) + labels[:, d])
                     keys[:, d] = key
             keys = pa.FixedSizeListArray.from_arrays(pa.array(keys[:, floor - 1 :].reshape(-1).view(np.int64)), self.labels - floor + 1).cast(pa.list_(pa.int64()))
-            columns = [pa.array(np.full(n, part, np.int32)), pa.array(border), held.column("tree"), held.column("path"), held.column("item"), pa.array(left, pa.int32()), pa.array(right, pa.int32()), keys]
+            columns = [pa.array(border), held.column("tree"), held.column("path"), held.column("item"), pa.array(left, pa.int32()), pa.array(right, pa.int32()), keys]
             yield from pa.table(columns, names=[c.split()[0] for c in _TRIE.split(", ")]).to_batches(max_chunksize=1 << 14)
             release()
 
         paths_ = items.select("item", "marks", "trees").mapInArrow(paths, "tree int, path binary, item binary")
         ordered = paths_.repartitionByRange(parts, "tree", "path", "item").sortWithinPartitions("tree", "path", "item")
-        trie = stages.write(ordered.mapInArrow(neighbours, _TRIE), "tries")
-        ends = sorted(trie.filter("border").select("part", "tree", "path", "item", "left", "right", "keys").collect(), key=lambda r: (r.part, r.tree, bytes(r.path), bytes(r.item)))
+        trie = stages.write(ordered.mapInArrow(neighbours, _TRIE), "tries", work_parts(self.buckets))
+        ends = sorted(trie.filter("border").select("tree", "path", "item", "left", "right", "keys").collect(), key=lambda r: (r.tree, bytes(r.path), bytes(r.item)))
         mended = []
         for k, r in enumerate(ends):
             left, right = r.left, r.right
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stages = Stages(docs.sparkSession, "ngram-join")
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars), "chunks")
     nodes, classes = _classes(stages, chunks, _forest(docs, threshold, trees, labels, target, shingle), threshold, target)
-    return nodes.select("doc_id", "item").join(classes, "item").select("doc_id", "class_id", "n_links")
+    return nodes.select("doc_id", "item").join(classes, "item").select("doc_id", "class_id", "n_links").coalesce(work_parts(bucket_count(docs)))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -339,4 +338,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from pa.table(columns, names=schema.names).to_batches()
         release()
 
-    return chunks.join(kept.hint("merge"), "chunk").select("content", "rows").mapInArrow(run, schema)
+    return chunks.join(kept.hint("merge"), "chunk").select("content", "rows").mapInArrow(run, schema).coalesce(work_parts(bucket_count(docs)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.common import release
+from gapgraph.llm.common import compact, release
 
 #: Context sizes of the tiers; the largest is the training window.
 TIERS = (64, 128, 256, 512, 1024)
@@ -243,4 +243,4 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         yield from rows(packer.pack(last=True))
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return compact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)

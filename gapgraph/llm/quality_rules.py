@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapgraph.llm.common import GAPS, Stages
+from gapgraph.llm.common import GAPS, Stages, compact, part_count
 
 #: A line is boilerplate on a host if it is in more distinct documents than both limits.
 MIN_DOCS = 20
@@ -20,8 +20,6 @@ MAX_REPEAT = 30
 #: Frequent lines of one host, and of all, up to which they are broadcast (8 bytes each); beyond it they are joined.
 HOST_LINES = 256
 BROADCAST_LINES = 1 << 19
-#: Files of the written table of frequent lines.
-FREQUENT_FILES = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -149,8 +147,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     equal verdicts; an empty table gives no rows; other columns are not read. The text itself is
     not shuffled while the hosts' frequent lines are few.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), _text(docs, text_col).alias("text"))
-    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows, min_docs, max_share), "frequent", FREQUENT_FILES)
+    rows = compact(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), _text(docs, text_col).alias("text")))
+    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows, min_docs, max_share), "frequent", part_count(docs))
     return _judged(rows, frequent, host_lines, broadcast_lines).drop("text", "host", "places", "_l")
 
 
@@ -168,9 +166,9 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too few words. A null host is the host ""; a null id is kept like any other; repeated rows stay or go
     together; an empty table gives no rows; other columns may have any name.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    own = compact(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = own.select("_row", F.col("_row")[id_col].alias("doc_id"), F.coalesce(F.col("_row")[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")).alias("text"))
-    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows.select("doc_id", "host", "text"), min_docs, max_share), "frequent", FREQUENT_FILES)
+    frequent = Stages(docs.sparkSession, "quality").write(frequent_lines(rows.select("doc_id", "host", "text"), min_docs, max_share), "frequent", part_count(docs))
     kept = _judged(rows, frequent, host_lines, broadcast_lines).filter("kept")
     left = F.array_join(_without(F.col("_l"), F.col("places")), "\n")
     kept = kept.select("_row", F.when(F.col("places").isNull(), F.col("text")).otherwise(left).alias("_text"))

@@ -8,15 +8,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapgraph.llm.common import Stages
+from gapgraph.llm.common import Stages, compact, part_count
 
 #: Alternatives followed at once while a regular expression is read; beyond it the strings so far become a query.
 MAX_STRINGS = 64
 #: Members of a character class that are told apart.
 MAX_CLASS = 8
-#: Candidates up to which their list is broadcast (some 50 bytes each), and the files of its table.
+#: Candidates up to which their list is broadcast (some 50 bytes each).
 BROADCAST_ROWS = 1 << 17
-CANDIDATE_FILES = 64
 
 
 @dataclass(frozen=True)
@@ -174,13 +173,13 @@ def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     of some query are joined with the rules that name them. All others stay where they are read. A null text is empty; repeated rows give a row each; an empty table gives none; other
     columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = compact(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).withColumn("text_hash", F.xxhash64("text"))
     indexed = [r for r in rules if trigram_query(r.pattern) != ALL]
     if not indexed:
         return _matches(rows, F.array().cast("array<string>"), rules)
     stages = Stages(docs.sparkSession, "trigrams")
     index = stages.write(postings(rows, rules), "postings")
-    named = stages.write(candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules"), "candidates", CANDIDATE_FILES)
+    named = stages.write(candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules"), "candidates", part_count(docs))
     match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     no_rules = F.array().cast("array<string>")
     if named.count() <= broadcast_rows:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gapgraph.llm.common import Stages
+from gapgraph.llm.common import Stages, compact
 
 #: Rows that one sorted range should hold; it sets how far the work is split, not what comes out.
 RANGE_ROWS = 1 << 18
@@ -38,7 +38,7 @@ def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col:
     Returns id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null), source.
     """
     stages = Stages(docs.sparkSession, "shards")
-    rows = docs.select(
+    rows = compact(docs).select(
         F.col(id_col).alias("doc_id"),
         _text(source_col).alias("source"),
         (F.octet_length(_text(text_col)) + F.lit(8)).cast("long").alias("size"),

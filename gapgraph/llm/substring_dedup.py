@@ -270,4 +270,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return each_chunk(chunks, rows, SCHEMA + (", kept_text string" if with_text else ""))
+    return each_chunk(chunks, rows, SCHEMA + (", kept_text string" if with_text else "")).coalesce(work_parts(run.buckets))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapgraph.llm.common import slices
+from gapgraph.llm.common import compact, part_count, slices
 
 #: Payloads of at least this many bytes are written once.
 REVISIT_BYTES = 100
@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digest is computed where a row is read; only digests that occur twice or more are joined back,
     and Spark splits the rows of a hot digest.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
+    rows = compact(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     firsts = rows.filter(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     joined = rows.join(firsts.filter("n > 1").drop("n"), "digest", "left")
@@ -228,7 +228,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 out.append((member if member[-1] == 0 else member + _EMPTY)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
+    parts = part_count(pages)
     members = joined.select("page_id", "url", "html", "digest", "first_id").mapInArrow(run, "value binary")
+    members = members if parts is None else members.coalesce(parts)
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_records).text(path)
 
 
