@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
+
+In every stage a null text is an empty one (quality rules and line dedup drop or keep it by their
+operators' docstrings), a null id stands behind all others, repeated rows are documents of their own,
+an empty table gives no rows, and other columns are carried along under any name.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapgraph.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
@@ -40,7 +43,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed: one row per piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, **packing.public_byte_bpe())
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram join", near), ("decontamination", leaks), ("packing", pack)]

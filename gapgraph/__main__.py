@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 from gapgraph import report, service
 from gapgraph.config import DEFAULT_MODELS, Settings
 from gapgraph.errors import GapGraphError
-from gapgraph.operators.completion import OfflineClient
+from gapgraph.operators.completion import client_for
 from gapgraph.sources.corpus import load_any
 from gapgraph.sources.document import read_document, write_document
 from gapgraph.visual import to_html
@@ -47,12 +48,13 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, client=None) -> int:
     args = _parser().parse_args(argv)
     settings = Settings.from_env()
+    logging.basicConfig(level=settings.log_level, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     if args.command == "providers":
         for name, model in DEFAULT_MODELS.items():
             print(f"{'*' if name == settings.provider else ' '} {name}: {settings.model_id if name == settings.provider else model}")
         return 0
     spark = spark or SparkSession.builder.appName("gapgraph").getOrCreate()
-    client = client or OfflineClient()
+    client = client or client_for(settings)
     try:
         if args.command == "analyze":
             if args.min_confidence is not None:

@@ -15,9 +15,21 @@ DEFAULT_MODELS = {
     "together_ai": "meta-llama/Meta-Llama-3.1-70B-Instruct-Turbo",
     "offline": "cue-rules",
 }
+#: Log levels (fixed values).
 _LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
+def read_dotenv(path: str) -> dict[str, str]:
+    """The NAME=value lines of a file, quotes around values removed; nothing if there is no file."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = [line.strip().removeprefix("export ") for line in f]
+    except FileNotFoundError:
+        return {}
+    pairs = (line.partition("=") for line in lines if "=" in line and not line.startswith("#"))
+    return {name.strip(): value.strip().strip("\"'") for name, _, value in pairs}
+
+
 @dataclass(frozen=True)
 class Settings:
     provider: str = "ollama"
@@ -28,6 +40,8 @@ class Settings:
     min_papers_for_edge: int = 1
     max_hypotheses: int = 10
     log_level: str = "INFO"
+    api_base: str | None = None
+    api_key: str | None = None
     api_host: str = "127.0.0.1"
     api_port: int = 8000
 
@@ -43,9 +57,9 @@ class Settings:
             raise ValueError(f"provider must be one of {', '.join(DEFAULT_MODELS)}")
 
     @classmethod
-    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
-        """Settings from variables GAPGRAPH_<NAME>; unknown ones are ignored."""
-        env = dict(os.environ if env is None else env)
+    def from_env(cls, env: dict[str, str] | None = None, dotenv: str = ".env") -> Settings:
+        """Settings from variables GAPGRAPH_<NAME>, and from the file ``dotenv`` where a variable is unset; unknown ones are ignored."""
+        env = {**read_dotenv(dotenv), **os.environ} if env is None else dict(env)
         found = {}
         for f in fields(cls):
             raw = env.get(f"GAPGRAPH_{f.name.upper()}")

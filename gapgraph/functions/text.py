@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Code points of the shortest paragraph that is kept, and of the longest before it is cut at sentences.
+#: Code points of the shortest paragraph that is kept, and of the longest before it is cut at sentences (fixed values).
 MIN_PARAGRAPH = 80
 MAX_PARAGRAPH = 2000
 #: ASCII punctuation but the hyphen, which may be part of a name's end (fixed values).
@@ -90,11 +92,9 @@ def two_digits(c: Column) -> Column:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """A text with each {name} replaced by a column."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    """A text with each {name} of ``values`` replaced by its column, once: names inside a value stay."""
+    parts = re.split("|".join(rf"(\{{{re.escape(name)}\}})" for name in values), template) if values else [template]
+    return F.concat(*(values[x[1:-1]] if x[:1] == "{" and x[1:-1] in values else F.lit(x) for x in parts if x))
 
 
 #: The functions above in SQL, for register().

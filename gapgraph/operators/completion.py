@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gapgraph.errors import CompletionError
 
 
+#: What is said of an answer that came but can't be used.
+UNUSABLE = "no usable JSON"
+
+
 class CompletionClient(Protocol):
     """Answers one prompt; raises on failure. Clients are pickled to the workers."""
 
@@ -61,6 +67,69 @@ def complete(prompts: DataFrame, client: CompletionClient, system: str, temperat
     return prompts.mapInPandas(run, schema)
 
 
+#: Where each provider answers, the form of its requests, and the usual variable of its key (fixed values).
+ENDPOINTS = {
+    "ollama": ("http://localhost:11434", "ollama", None),
+    "openai": ("https://api.openai.com/v1", "chat", "OPENAI_API_KEY"),
+    "anthropic": ("https://api.anthropic.com/v1", "messages", "ANTHROPIC_API_KEY"),
+    "groq": ("https://api.groq.com/openai/v1", "chat", "GROQ_API_KEY"),
+    "mistral": ("https://api.mistral.ai/v1", "chat", "MISTRAL_API_KEY"),
+    "together_ai": ("https://api.together.xyz/v1", "chat", "TOGETHERAI_API_KEY"),
+}
+_ROUTES = {"ollama": "/api/chat", "chat": "/chat/completions", "messages": "/messages"}
+
+
+class HttpClient:
+    """A provider over HTTP, by the form of its requests: "chat", "messages" or "ollama"."""
+
+    def __init__(self, model: str, base: str, form: str = "chat", key: str | None = None, timeout: float = 120.0):
+        if form not in _ROUTES:
+            raise ValueError(f"form must be one of {', '.join(_ROUTES)}")
+        self.model, self.base, self.form, self.key, self.timeout = model, base.rstrip("/"), form, key, timeout
+
+    def request(self, prompt: str, system: str, temperature: float, max_tokens: int) -> tuple[str, dict, dict[str, str]]:
+        """(URL, body, headers) of one call."""
+        headers = {"Content-Type": "application/json"}
+        body: dict = {"model": self.model.removeprefix("ollama/"), "messages": messages(prompt, system)}
+        if self.form == "ollama":
+            body |= {"stream": False, "options": {"temperature": temperature, "num_predict": max_tokens}}
+        else:
+            body |= {"temperature": temperature, "max_tokens": max_tokens}
+        if self.form == "messages":
+            body["messages"] = messages(prompt, "")
+            body |= {"system": system} if system else {}
+            headers |= {"anthropic-version": "2023-06-01"} | ({"x-api-key": self.key} if self.key else {})
+        elif self.key:
+            headers["Authorization"] = f"Bearer {self.key}"
+        return self.base + _ROUTES[self.form], body, headers
+
+    def complete(self, prompt: str, system: str, temperature: float, max_tokens: int) -> str:
+        url, body, headers = self.request(prompt, system, temperature, max_tokens)
+        asked = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+            got = json.loads(answer.read())
+        if self.form == "ollama":
+            return got["message"]["content"] or ""
+        if self.form == "messages":
+            return "".join(part.get("text", "") for part in got["content"])
+        return got["choices"][0]["message"]["content"] or ""
+
+
+def client_for(settings) -> CompletionClient:
+    """The client of the provider that the settings name."""
+    if settings.provider == "offline":
+        return OfflineClient()
+    base, form, variable = ENDPOINTS[settings.provider]
+    return HttpClient(settings.model_id, settings.api_base or base, form, settings.api_key or (os.environ.get(variable) if variable else None))
+
+
+def raise_lost(completions: DataFrame, client: CompletionClient, max_retries: int, column: str = "status") -> None:
+    """CompletionError if a call of ``completions`` failed on every attempt (``column`` is neither "ok" nor about an answer's text)."""
+    lost = completions.filter(~F.col(column).isin("ok", UNUSABLE)).select(column).first()
+    if lost is not None:
+        raise CompletionError(client.model, lost[0], max_retries)
+
+
 class OfflineClient:
     """Deterministic answers without a network.
 

@@ -8,7 +8,7 @@ from gapgraph.errors import NoGapsError
 from gapgraph.functions.jsonparse import NO_MECHANISM, parse_hypotheses
 from gapgraph.functions.scoring import composite_score
 from gapgraph.functions.text import arrow, fill, two_digits
-from gapgraph.operators.completion import CompletionClient, complete
+from gapgraph.operators.completion import UNUSABLE, CompletionClient, complete
 from gapgraph.operators.gaps import edge_roles
 from gapgraph.prompts import HYPOTHESIS, HYPOTHESIS_SYSTEM, STRICT
 from gapgraph.stages import Stages
@@ -90,7 +90,7 @@ def generate(gaps: DataFrame, edges: DataFrame, claims: DataFrame, client: Compl
     second = stages.write(complete(again, client, HYPOTHESIS_SYSTEM, 0.0, 1024, max_retries), "second")
     more, failed = parse_hypotheses(second.filter("status = 'ok'").select("gap", "prompt", "raw"), deterministic_ids, accept_array)
     lost = first.unionByName(second).filter("status <> 'ok'").select("gap", F.col("status").alias("error"))
-    return stages.write(good.unionByName(more).drop("prompt"), "hypotheses"), lost.unionByName(failed.select("gap", F.lit("no usable JSON").alias("error")))
+    return stages.write(good.unionByName(more).drop("prompt"), "hypotheses"), lost.unionByName(failed.select("gap", F.lit(UNUSABLE).alias("error")))
 
 
 def rank(hypotheses: DataFrame, order: str = "id") -> DataFrame:

@@ -118,7 +118,7 @@ def parse_claims_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("answer", "cause", "effect", "confidence", "mechanism", "evidence", "source_paper")
 
 
-@_query()
+@_query(f"WITH {claims_sql()} SELECT claim_ord AS answer, CASE WHEN claim_ord % 5 = 0 THEN 'failed' ELSE 'claim' END AS outcome FROM claims")
 def parse_claims_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, failed = jsonparse.parse_claims(_answers(spark, sf_dir, damaged=True))
     return claims.select("answer", F.lit("claim").alias("outcome")).unionByName(failed.select("answer", F.lit("failed").alias("outcome")))
@@ -302,7 +302,14 @@ def hypothesis_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "event_id")).cast("long"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {gaps_sql()}, best AS (SELECT * FROM gaps ORDER BY round(gap_score, 12) DESC, phase, node_ord, type_ord LIMIT 10),
+asked AS (SELECT variable, gap_type, gap_score, (SELECT min(other) FROM roles WHERE roles.node = variable) AS near FROM best),
+answered AS (SELECT *, round(0.5 + length(variable) % 5 / 10, 2) AS t, round(0.4 + length(near) % 5 / 10, 2) AS n FROM asked),
+scored AS (SELECT 'H' || upper(substr(sha256(variable || '|' || gap_type), 1, 8)) AS id, variable, CASE gap_type WHEN 'MISSING_CAUSE' THEN near ELSE variable END AS predicted_cause,
+  CASE gap_type WHEN 'MISSING_CAUSE' THEN variable ELSE near END AS predicted_effect, round(0.4 * t + 0.4 * n + 0.2 * gap_score, 6) AS composite_score FROM answered)
+SELECT (row_number() OVER (ORDER BY composite_score DESC, id))::INTEGER AS rank, * FROM scored"""
+)
 def generate_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hypotheses of the offline client, ranked."""
     graph = _graph(spark, sf_dir)
@@ -314,16 +321,20 @@ def generate_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources and sinks
 
 
-@_query()
+@_query("SELECT row_number() OVER (ORDER BY f) - 1 AS paper_ord, f AS source_paper, length(t) AS n_chars FROM (SELECT 'nation ' || lpad(n_nationkey::VARCHAR, 3, '0') || '.txt' AS f, n_name || ' is in region ' || n_regionkey AS t FROM nation)")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as text files, one a document, and read back as a corpus."""
+    """Nations written as text files, one each (there are as many as the table has, at any scale), and read back as a corpus."""
     folder = f"{Stages(spark, 'corpus').root}/papers"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs.select("text").write.option("lineSep", "\n\n").option("maxRecordsPerFile", 20).text(folder)
-    return load_directory(spark, folder).select("paper_ord", "source_paper", F.length("content").alias("n_chars"))
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for row in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
+        where = path(f"{folder}/nation {row.n_nationkey:03d}.txt")
+        out = where.getFileSystem(conf).create(where, True)
+        out.write(bytearray(f"  {row.n_name} is in region {row.n_regionkey}\n".encode()))
+        out.close()
+    return load_directory(spark, folder).select("paper_ord", "source_paper", F.length("content").cast("long").alias("n_chars"))
 
 
-@_query()
+@_query(f"WITH {claims_sql()} SELECT source_paper, n_cause AS cause, n_effect AS effect, 0.85::DOUBLE AS confidence, arg_min(trim(lower(evidence)), claim_ord) AS mechanism FROM claims GROUP BY 1, 2, 3")
 def extract_from_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that the offline client finds in sentences made of the mapped claims."""
     rows = merge.normalize_claims(_claims(spark, sf_dir))
@@ -333,7 +344,10 @@ def extract_from_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("source_paper", "cause", "effect", "confidence", "mechanism")
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {gaps_sql()}, parts AS (SELECT 'claims' AS part, count(*) AS n FROM claims UNION ALL SELECT 'edges', count(*) FROM fe UNION ALL SELECT 'gaps', count(*) FROM gaps UNION ALL SELECT 'nodes', count(*) FROM nord)
+SELECT part, n FROM parts WHERE n > 0"""
+)
 def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapped graph with its gaps as a JSON document, written, read and taken apart."""
     graph = build_graph(_claims(spark, sf_dir), 0.0, min_papers(spark, sf_dir))

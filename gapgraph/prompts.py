@@ -31,12 +31,9 @@ Neighbours: {neighbours}
 Edges at the variable:
 {existing}
 
-By the kind of gap:
-- MISSING_CAUSE: propose what causes the variable
-- MISSING_EFFECT: propose what the variable leads to
-- ISOLATED_NODE: propose how the variable ties in with the rest of the graph
-- LOW_CONFIDENCE_CHAIN: propose a test that would settle the weak chain through the variable
-- BROKEN_CHAIN: propose the step that connects the two parts
+The kind says where the graph is thin: MISSING_CAUSE and MISSING_EFFECT on one side of the variable,
+ISOLATED_NODE on nearly all sides, LOW_CONFIDENCE_CHAIN in its evidence, BROKEN_CHAIN between two parts
+of the literature. Fill that very place with one new edge, or with a measurement that would decide it.
 
 Answer with one object that has hypothesis_text, predicted_cause, predicted_effect, predicted_mechanism,
 testability_score (0 to 1), novelty_score (0 to 1), suggested_experiment and supporting_context."""

@@ -8,10 +8,10 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapgraph.config import Settings
-from gapgraph.errors import GapGraphError, NoGapsError
+from gapgraph.errors import CompletionError, GapGraphError, NoGapsError
 from gapgraph.operators import gaps as G, hypotheses as H
 from gapgraph.operators.claims import extract_claims
-from gapgraph.operators.completion import CompletionClient
+from gapgraph.operators.completion import CompletionClient, raise_lost
 from gapgraph.operators.graph import build_graph
 from gapgraph.schemas import DOCUMENT
 from gapgraph.sources.corpus import from_texts
@@ -20,9 +20,10 @@ from gapgraph.stages import Stages
 
 
 def analyze(papers: DataFrame, client: CompletionClient, settings: Settings) -> DataFrame:
-    """Papers to a graph document with claims, edges and gaps."""
+    """Papers to a graph document with claims, edges and gaps; CompletionError if a call failed on every attempt."""
     stages = Stages(papers.sparkSession, "analyze")
-    claims, _ = extract_claims(papers, client, settings.max_retries)
+    claims, completions = extract_claims(papers, client, settings.max_retries)
+    raise_lost(completions, client, settings.max_retries)
     graph = build_graph(stages.write(claims, "claims"), settings.min_confidence, settings.min_papers_for_edge)
     return stages.write(graph.to_document(G.detect_gaps(graph.dag, graph.nodes), model_used=client.model), "document")
 
@@ -35,7 +36,8 @@ def hypothesize(document: DataFrame, client: CompletionClient, settings: Setting
     keyed = parts["gaps"].withColumn("gap_key", F.struct((-F.col("gap_score")).alias("s"), "ord"))
     edges = parts["edges"].withColumn("edge_key", F.struct((-F.col("avg_confidence")).alias("c"), F.col("ord").alias("q")))
     claims = parts["claims"].withColumn("claim_seq", F.col("ord"))
-    found, _ = H.generate(keyed, edges, claims, client, max_hypotheses or settings.max_hypotheses, settings.max_retries)
+    found, lost = H.generate(keyed, edges, claims, client, max_hypotheses or settings.max_hypotheses, settings.max_retries)
+    raise_lost(lost, client, settings.max_retries, "error")
     head = document.select("papers_analyzed", "created_at").first()
     ranked = H.rank(found).withColumn("ord", F.col("rank"))
     return to_document(spark, parts["nodes"], parts["edges"], parts["claims"], parts["gaps"], ranked, head.papers_analyzed, head.created_at, client.model)
@@ -57,6 +59,8 @@ def handle(spark: SparkSession, client: CompletionClient, settings: Settings, me
             document = spark.createDataFrame([(json.dumps(body["graph"]),)], "raw string").select(F.from_json("raw", DOCUMENT).alias("d")).select("d.*")
             return 200, _json(hypothesize(document, client, settings, body.get("max_hypotheses")))
         return 404, {"detail": "no such route"}
+    except CompletionError as error:
+        return 502, {"detail": str(error)}
     except (GapGraphError, ValueError, KeyError, TypeError) as error:
         return 422, {"detail": str(error)}
 

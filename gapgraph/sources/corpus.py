@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,6 +11,10 @@ from gapgraph.errors import CorpusError
 from gapgraph.functions.text import trim_space
 from gapgraph.schemas import PAPERS
 
+logger = logging.getLogger(__name__)
+#: Files left out of a corpus that are named in warnings.
+SHOWN_FAULTS = 100
+
 
 def _status(spark: SparkSession, path: str):
     """The file status of a path in whatever store it names, or None."""
@@ -18,13 +23,21 @@ def _status(spark: SparkSession, path: str):
     return fs.getFileStatus(where) if fs.exists(where) else None
 
 
-def _papers(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """Papers of text files, ordered by path; texts that are blank are left out.
+def _papers(spark: SparkSession, paths: str | list[str], strict: bool, **options) -> DataFrame:
+    """Papers of text files, ordered by path. A file that is blank or no UTF-8 is an error if ``strict``, else left out with a warning.
 
     Only paths are ranked in one task, and the driver lists all of them anyway.
     """
-    files = spark.read.text(paths, wholetext=True, **options).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_paper"))
-    texts = files.withColumn("content", trim_space(F.col("value"))).filter(F.length("content") > 0).drop("value")
+    reader = spark.read.format("binaryFile").options(**options)
+    files = reader.load(paths).select(F.col("path").alias("_path"), F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -1).alias("source_paper"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
+    texts = files.withColumn("content", trim_space(F.col("value"))).drop("value")
+    bad = texts.filter(F.col("content").isNull() | (F.length("content") == 0)).select("_path", F.col("content").isNull().alias("coded")).limit(SHOWN_FAULTS).collect()
+    for row in bad:
+        reason = "it is no UTF-8 text" if row.coded else "nothing but white space in it"
+        if strict:
+            raise CorpusError(row["_path"], reason)
+        logger.warning("%s left out: %s", row["_path"], reason)
+    texts = texts.filter(F.length("content") > 0)
     order = texts.select("_path").withColumn("paper_ord", F.row_number().over(Window.orderBy("_path")).cast("long") - 1)
     return texts.join(order, "_path").select("paper_ord", "source_paper", "content")
 
@@ -40,7 +53,7 @@ def load_directory(spark: SparkSession, path: str) -> DataFrame:
     listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
     if not any(s.isFile() and s.getPath().getName().endswith(".txt") for s in listed):
         raise CorpusError(path, "it holds no .txt files")
-    papers = _papers(spark, path, pathGlobFilter="*.txt")
+    papers = _papers(spark, path, strict=False, pathGlobFilter="*.txt")
     if papers.isEmpty():
         raise CorpusError(path, "all of its files are empty")
     return papers
@@ -54,10 +67,7 @@ def load_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             raise CorpusError(path, "it does not exist")
         if not status.isFile():
             raise CorpusError(path, "it is not a file")
-    papers = _papers(spark, list(paths))
-    if papers.isEmpty():
-        raise CorpusError(", ".join(paths), "nothing but white space in it")
-    return papers
+    return _papers(spark, list(paths), strict=True)
 
 
 def load_any(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

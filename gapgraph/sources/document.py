@@ -68,5 +68,27 @@ def to_json(document: DataFrame) -> DataFrame:
 
 
 def write_document(document: DataFrame, path: str) -> None:
-    """One JSON text file in the folder ``path``, which must not exist."""
-    to_json(document).coalesce(1).write.text(path)
+    """One JSON file: ``path`` itself if it ends in .json, else a text file in the folder ``path``, which must not exist.
+
+    A document is one row by its form; write_tables() takes what is too large for that.
+    """
+    if not path.endswith(".json"):
+        to_json(document).coalesce(1).write.text(path)
+        return
+    spark = document.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(to_json(document).first()[0].encode()))
+    finally:
+        out.close()
+
+
+def write_tables(parts: dict[str, DataFrame], path: str) -> None:
+    """Nodes, edges, claims, gaps and hypotheses as Parquet tables under ``path``, each written by all its tasks."""
+    for name, df in parts.items():
+        df.write.parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str, names: tuple[str, ...] = ("nodes", "edges", "claims", "gaps")) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

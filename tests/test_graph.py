@@ -20,9 +20,9 @@ def edges(spark, rows):
 
 
 def test_merge(spark):
-    rows = [("smoking", "cancer", 0.9, "p1", "DNA damage", "E"), ("smoking", "cancer", 0.7, "p2", "dna damage ", "e"), ("smoking", "cancer", 0.8, "p2", " ", "E "), ("smoking", "cancer", 0.8, "p2", "Unknown", ""), ("smoking", "cancer", 0.8, "p2", "x not specified", "E")]
-    row = merge.merge_claims(claims(spark, rows)).first()
-    assert (row.avg_confidence, row.paper_count, row.mechanisms, row.evidence_sentences) == (0.8, 2, ["DNA damage"], ["E", "e"])
+    said = [(0.35, "trial", "Heat stress", "They fell."), (0.65, "review", "heat stress ", "they fell."), (0.2, "review", " ", "They fell. "), (0.6, "trial", "UNKNOWN", ""), (0.7, "note", "was not specified here", "They fell.")]
+    row = merge.merge_claims(claims(spark, [("drought", "crop yield", c, p, m, e) for c, p, m, e in said])).first()
+    assert (row.avg_confidence, row.paper_count, row.mechanisms, row.evidence_sentences) == (0.5, 3, ["Heat stress"], ["They fell.", "they fell."])
 
 
 def test_same_paper_twice_after_normalising(spark):
