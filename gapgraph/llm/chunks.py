@@ -25,7 +25,9 @@ ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 20
-#: Buckets for an input of unknown size.
+#: Bytes of input for each task of what is computed by bucket or chunk.
+WORK_BYTES = 16 << 20
+#: Buckets, and tasks, for an input of unknown size.
 UNKNOWN_BUCKETS = 1 << 10
 
 Parts = Iterator[tuple[int, bytes]]
@@ -38,9 +40,10 @@ def bucket_count(docs: DataFrame) -> int:
     return 1 << (min(MAX_BUCKETS, max(MIN_BUCKETS, wanted)) - 1).bit_length()
 
 
-def work_parts(buckets: int) -> int:
-    """Tasks, and so files, of tables that are computed by bucket; those of ids alone take light_parts."""
-    return max(12, buckets // 4)
+def work_parts(docs: DataFrame) -> int:
+    """Tasks, and so files, of tables that grow with the input; those of ids alone take light_parts."""
+    size = input_bytes(docs)
+    return UNKNOWN_BUCKETS if size is None else max(12, size // WORK_BYTES)
 
 
 def light_parts(buckets: int) -> int:

@@ -188,7 +188,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
     """(lines, chunks, nodes, kept): nodes have a row per line, kept (item, place) the line that stays for each named item."""
     stages = Stages(docs.sparkSession, "line-dedup")
     lines = _Lines(shingle, bands, rows, bucket_count(docs))
-    some, few = work_parts(lines.buckets), light_parts(lines.buckets)
+    some, few = work_parts(docs), light_parts(lines.buckets)
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars, others), "chunks")
     found = stages.write(ask(chunks, lines.ask_bands, lines.answer_bands), "bands", some)
     nodes = stages.write(each_chunk(with_replies(chunks, found), lines.nodes, _NODES), "nodes", some)
@@ -224,7 +224,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = nodes.filter("item is not null").select("chunk", "row", "line", "doc_id", "item").join(kept, "item")
     stays = (F.col("chunk") == F.col("place.chunk")) & (F.col("row") == F.col("place.row")) & (F.col("line") == F.col("place.line"))
     named = named.select("doc_id", F.col("line").alias("line_no"), F.col("place.doc_id").alias("class_doc"), F.col("place.line").alias("class_line"), stays.alias("kept"))
-    return alone.unionByName(named.coalesce(work_parts(lines.buckets)))
+    return alone.unionByName(named.coalesce(work_parts(docs)))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -257,4 +257,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield from pa.table(columns, names=schema.names).filter(pa.array(stay)).to_batches()
         release()
 
-    return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema).coalesce(work_parts(lines.buckets))
+    return chunks.join(by_chunk.hint("merge"), "chunk", "left").select("content", "gone").mapInArrow(run, schema).coalesce(work_parts(docs))

@@ -42,6 +42,9 @@ def floor_depth(threshold: float, trees: int, labels: int, target: float) -> int
 
 
 class _Forest:
+    #: Tasks of the tables that grow with the input.
+    parts = 12
+
     def __init__(self, shingle: int, trees: int, labels: int, floor: int, buckets: int):
         if trees > 31:
             raise ValueError("a forest has 31 trees at most")
@@ -203,7 +206,7 @@ class _Forest:
 
         paths_ = items.select("item", "marks", "trees").mapInArrow(paths, "tree int, path binary, item binary")
         ordered = paths_.repartitionByRange(parts, "tree", "path", "item").sortWithinPartitions("tree", "path", "item")
-        trie = stages.write(ordered.mapInArrow(neighbours, _TRIE), "tries", work_parts(self.buckets))
+        trie = stages.write(ordered.mapInArrow(neighbours, _TRIE), "tries", self.parts)
         ends = sorted(trie.filter("border").select("tree", "path", "item", "left", "right", "keys").collect(), key=lambda r: (r.tree, bytes(r.path), bytes(r.item)))
         mended = []
         for k, r in enumerate(ends):
@@ -245,7 +248,7 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
     only pairs that no earlier one has: under nodes that branch between its depth and the last one's. At
     the floor, which promises the target for any pair, it ends.
     """
-    tries = stages.write(forest.tries(items, stages), "depths", work_parts(forest.buckets))
+    tries = stages.write(forest.tries(items, stages), "depths", forest.parts)
     depth, last, found = forest.labels, None, None
     while True:
         key = F.col("keys")[depth - forest.floor]
@@ -254,7 +257,7 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
             branching = members.groupBy("group").agg(F.min("child").alias("a"), F.max("child").alias("b")).filter("a <> b").select("group")
             members = members.join(branching, "group", "left_semi").select("group", "item")
         links = link_groups(members, items, threshold, forest.shingles, stages, 4 * forest.buckets, marks=forest.at_depth(depth), seen=forest.at_depth(last) if last else None, weigh=forest.misses)
-        links = stages.write(links, f"links{depth}", work_parts(forest.buckets))
+        links = stages.write(links, f"links{depth}", forest.parts)
         stages.drop(*WORK_TABLES)
         found = links if found is None else found.unionByName(links)
         if depth == forest.floor:
@@ -268,7 +271,7 @@ def _links(stages: Stages, items: DataFrame, forest: _Forest, threshold: float,
 
 def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
     """(nodes: a row per document with its set), (classes: item, label, class_id, n_links)."""
-    some, few = work_parts(forest.buckets), light_parts(forest.buckets)
+    some, few = forest.parts, light_parts(forest.buckets)
     found = stages.write(ask(chunks, forest.prefixes, forest.answer_prefixes), "prefixes", some)
     nodes = stages.write(each_chunk(with_replies(chunks, found), forest.nodes, _NODES), "nodes", some)
     stages.drop("prefixes")
@@ -285,7 +288,9 @@ def _classes(stages: Stages, chunks: DataFrame, forest: _Forest, threshold: floa
 
 
 def _forest(docs: DataFrame, threshold: float, trees: int, labels: int, target: float, shingle: int) -> _Forest:
-    return _Forest(shingle, trees, labels, floor_depth(threshold, trees, labels, target), bucket_count(docs))
+    forest = _Forest(shingle, trees, labels, floor_depth(threshold, trees, labels, target), bucket_count(docs))
+    forest.parts = work_parts(docs)
+    return forest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -310,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stages = Stages(docs.sparkSession, "ngram-join")
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars), "chunks")
     nodes, classes = _classes(stages, chunks, _forest(docs, threshold, trees, labels, target, shingle), threshold, target)
-    return nodes.select("doc_id", "item").join(classes, "item").select("doc_id", "class_id", "n_links").coalesce(work_parts(bucket_count(docs)))
+    return nodes.select("doc_id", "item").join(classes, "item").select("doc_id", "class_id", "n_links").coalesce(work_parts(docs))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -338,4 +343,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from pa.table(columns, names=schema.names).to_batches()
         release()
 
-    return chunks.join(kept.hint("merge"), "chunk").select("content", "rows").mapInArrow(run, schema).coalesce(work_parts(bucket_count(docs)))
+    return chunks.join(kept.hint("merge"), "chunk").select("content", "rows").mapInArrow(run, schema).coalesce(work_parts(docs))

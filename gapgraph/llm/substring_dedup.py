@@ -224,9 +224,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, s: int, chunk_
     stages = Stages(docs.sparkSession, "substrings")
     run = _Dedup(k, s, bucket_count(docs))
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars), "chunks")
-    seeds = stages.write(ask(chunks, run.seeds, run.answer_seeds), "seeds", work_parts(run.buckets))
-    edges = stages.write(ask(with_replies(chunks, seeds), run.edges, run.answer_edges), "edges", work_parts(run.buckets))
-    paths = stages.write(ask(with_replies(chunks, seeds, edges), run.paths, run.answer_paths), "paths", work_parts(run.buckets))
+    seeds = stages.write(ask(chunks, run.seeds, run.answer_seeds), "seeds", work_parts(docs))
+    edges = stages.write(ask(with_replies(chunks, seeds), run.edges, run.answer_edges), "edges", work_parts(docs))
+    paths = stages.write(ask(with_replies(chunks, seeds, edges), run.paths, run.answer_paths), "paths", work_parts(docs))
     return run, with_replies(chunks, seeds, edges, paths)
 
 
@@ -270,4 +270,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return each_chunk(chunks, rows, SCHEMA + (", kept_text string" if with_text else "")).coalesce(work_parts(run.buckets))
+    return each_chunk(chunks, rows, SCHEMA + (", kept_text string" if with_text else "")).coalesce(work_parts(docs))
