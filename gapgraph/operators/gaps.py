@@ -32,7 +32,7 @@ def node_profile(edges: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("out_degree"),
         F.sum(F.coalesce("paper_count", F.lit(1))).alias("papers"),
         F.max(F.coalesce("avg_confidence", F.lit(1.0))).alias("strongest"),
-        F.avg("avg_confidence").alias("mean_confidence"),
+        F.try_divide(F.sum(F.round(F.col("avg_confidence") * 1e6).cast("long")), F.count("avg_confidence") * 1e6).alias("mean_confidence"),
         F.array_sort(F.collect_set("other")).alias("neighboring_nodes"),
         F.transform(F.array_sort(F.collect_list(F.struct("role", "edge_key", "other", "text"))), lambda x: F.struct(x["role"].alias("role"), x["other"].alias("other"), x["text"].alias("text"))).alias("ties"),
     )

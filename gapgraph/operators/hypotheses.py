@@ -25,6 +25,14 @@ def first_mechanisms(claims: DataFrame, empty_allowed: bool = False) -> DataFram
     return rows.groupBy("cause", "effect").agg(F.min(F.struct("claim_seq", "mechanism")).alias("f")).select("cause", "effect", F.col("f.mechanism").alias("mechanism"))
 
 
+def mechanism_lists(claims: DataFrame) -> DataFrame:
+    """(cause, effect, mechanisms): the distinct mechanisms said of each pair of raw names, as they first appear."""
+    said = claims.filter((F.col("mechanism") != "") & ~F.contains(F.lower("mechanism"), F.lit("not specified")))
+    once = said.groupBy("cause", "effect", "mechanism").agg(F.min("claim_seq").alias("q"))
+    ordered = F.array_sort(F.collect_list(F.struct("q", "mechanism")))
+    return once.groupBy("cause", "effect").agg(F.transform(ordered, lambda x: x["mechanism"]).alias("mechanisms"))
+
+
 def context_edges(edges: DataFrame, claims: DataFrame, n: int = CONTEXT_EDGES) -> DataFrame:
     """The n strongest edges with rank (from 1) and first mechanism."""
     top = edges.orderBy("edge_key").limit(n)

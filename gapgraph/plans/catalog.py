@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gapgraph import prompts as P, report
 from gapgraph.functions import jsonparse, text
 from gapgraph.functions.scoring import composite_score
 from gapgraph.operators import gaps as G, hypotheses as H, merge
@@ -11,8 +12,9 @@ from gapgraph.operators.claims import dedup_within_paper, extract_claims
 from gapgraph.operators.completion import OfflineClient
 from gapgraph.operators.graph import KnowledgeGraph, build_graph, cycle_edges, graph_nodes
 from gapgraph.plans.mapping import claims_from_events, claims_sql, edges_sql, events, gaps_sql, graph_sql, min_papers
-from gapgraph.sources.corpus import from_table, load_directory
-from gapgraph.sources.document import read_document, tables, write_document
+from gapgraph.schemas import validate
+from gapgraph.sources.corpus import from_table, from_texts, load_directory, load_files
+from gapgraph.sources.document import read_document, tables, to_document, write_document
 from gapgraph.stages import Stages
 
 QUERIES: dict = {}
@@ -51,6 +53,11 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.detect_gaps(graph.dag, graph.nodes)
 
 
+def _literal(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _list(c: str) -> Column:
     return F.array_join(c, "|")
 
@@ -96,6 +103,14 @@ def split_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.split_papers(papers).select(F.col("paper_ord").alias("doc_id"), F.md5("paragraph").alias("chunk_md5"), F.length("paragraph").cast("long").alias("n_chars"))
 
 
+@_query(f"WITH {_PIECES.format(text='text')}, {_PACKED} SELECT doc_id, md5(replace({_literal(P.EXTRACT)}, '{{paragraph}}', chunk)) AS prompt_md5 FROM chunks WHERE length(chunk) >= 80")
+def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each paragraph of whole texts."""
+    papers = from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    prompt = text.fill(P.EXTRACT, paragraph=F.col("paragraph"))
+    return text.split_papers(papers).select(F.col("paper_ord").alias("doc_id"), F.md5(prompt).alias("prompt_md5"))
+
+
 # answers
 
 
@@ -176,6 +191,14 @@ def papers_analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _claims(spark, sf_dir).agg(F.count_distinct("source_paper").alias("papers_analyzed"))
 
 
+@_query(f"WITH {claims_sql()}, scored AS (SELECT claim_seq, (cents - 40) / 50.0::DOUBLE AS confidence FROM claims) SELECT claim_seq, confidence, confidence BETWEEN 0 AND 1 AS valid FROM scored")
+def validate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose confidences are stretched beyond 0 and 1, told apart by the rules of their table."""
+    stretched = merge.normalize_claims(_claims(spark, sf_dir)).withColumn("confidence", (F.round(F.col("confidence") * 100) - 40) / 50.0)
+    good, bad = validate(stretched, "claims")
+    return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False))).select("claim_seq", "confidence", "valid")
+
+
 # graph
 
 
@@ -269,8 +292,85 @@ def top_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top_gaps(_gaps(spark, sf_dir), 10).select(F.col("rank").cast("long").alias("rank"), "variable", "gap_type")
 
 
+def _two(hundredths: str) -> str:
+    """A number of whole hundredths with its two digits, in SQL."""
+    return f"(({hundredths}) // 100)::BIGINT || '.' || lpad((({hundredths}) % 100)::BIGINT::VARCHAR, 2, '0')"
+
+
+def _some(items: str, n: int = 3) -> str:
+    return f"array_to_string({items}[1:{n}], ', ') || CASE WHEN len({items}) > 3 THEN ', ...' ELSE '' END"
+
+
+#: CTEs after those of gaps_sql(): told has each gap with the text that explains it.
+_TOLD = f"""
+around AS (SELECT node, list(other ORDER BY eo) FILTER (role = 0) AS ps, list(other ORDER BY eo) FILTER (role = 1) AS cs, sum(round(avg_confidence * 10000)::BIGINT) AS s, count(*) AS n,
+  arg_min(CASE role WHEN 0 THEN other || ' → ' || node ELSE node || ' → ' || other END, (role, eo)) AS tie FROM roles GROUP BY node),
+told AS (SELECT gaps.*, CASE gap_type
+  WHEN 'MISSING_CAUSE' THEN chr(39) || variable || chr(39) || ' is said to lead to ' || {_some('cs')} || ', but no paper names a cause of it.'
+  WHEN 'MISSING_EFFECT' THEN chr(39) || variable || chr(39) || ' is said to follow from ' || {_some('ps')} || ', but no paper names an effect of it.'
+  WHEN 'ISOLATED_NODE' THEN chr(39) || variable || chr(39) || ' has one edge only, ' || tie || ', so its place among the other variables is open.'
+  ELSE 'The chain from ' || {_some('ps', 2)} || ' over ' || chr(39) || variable || chr(39) || ' to ' || {_some('cs', 2)} || ' rests on weak evidence (mean confidence ' || {_two('(2 * s + 100 * n) // (200 * n)')} || ').' END AS gap_explanation
+  FROM gaps JOIN around ON around.node = variable)"""
+
+
+@_query(f"WITH RECURSIVE {gaps_sql()}, {_TOLD} SELECT variable, gap_type, gap_explanation FROM told")
+def gap_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gaps(spark, sf_dir).select("variable", "gap_type", "gap_explanation")
+
+
 # hypotheses
 
+
+@_query(f"WITH {claims_sql()} SELECT cause, effect, arg_min(mechanism, claim_seq) AS mechanism FROM claims WHERE lower(mechanism) NOT LIKE '%not specified%' GROUP BY 1, 2")
+def first_mechanisms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First mechanisms by the names that claims have before they are normalised."""
+    return H.first_mechanisms(_claims(spark, sf_dir))
+
+
+@_query(f"WITH {claims_sql()}, once AS (SELECT cause, effect, mechanism, min(claim_seq) AS q FROM claims WHERE mechanism <> '' AND lower(mechanism) NOT LIKE '%not specified%' GROUP BY 1, 2, 3) SELECT cause, effect, string_agg(mechanism, '|' ORDER BY q) AS mechanisms FROM once GROUP BY 1, 2")
+def mechanism_lists_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.mechanism_lists(_claims(spark, sf_dir)).withColumn("mechanisms", _list("mechanisms"))
+
+
+#: CTEs after those of graph_sql(): context has the one text of a prompt's edges. Mechanisms are looked up by raw names.
+_CONTEXT = f"""
+raw AS (SELECT cause, effect, arg_min(mechanism, claim_seq) AS mechanism FROM claims WHERE lower(mechanism) NOT LIKE '%not specified%' GROUP BY 1, 2),
+known AS (SELECT cause, effect, '- ' || cause || ' → ' || effect AS head, avg_confidence, paper_count, eo, coalesce(mechanism, 'mechanism not specified') AS mechanism, row_number() OVER (ORDER BY eo) AS rank FROM dag LEFT JOIN raw USING (cause, effect)),
+context AS (SELECT string_agg(head || ' (confidence ' || {_two('(round(avg_confidence * 10000)::BIGINT + 50) // 100')} || ', papers ' || paper_count || ': ' || mechanism || ')', chr(10) ORDER BY rank) FILTER (rank <= 12)
+  || CASE WHEN count(*) >= 12 THEN chr(10) || '… and ' || (count(*) - 12) || ' more' ELSE '' END AS context, (SELECT count(DISTINCT source_paper) FROM claims) AS papers FROM known)"""
+
+
+@_query(f"WITH RECURSIVE {graph_sql()}, {_CONTEXT} SELECT papers, context FROM context")
+def edge_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir)
+    return H.edge_context(graph.dag, graph.claims)
+
+
+_PROMPT = _literal(P.HYPOTHESIS)
+for _name, _value in {
+    "papers": "papers::VARCHAR",
+    "context": "context",
+    "variable": "variable",
+    "kind": "gap_type",
+    "explanation": "gap_explanation",
+    "neighbours": "(SELECT string_agg(DISTINCT other, ', ' ORDER BY other) FROM roles WHERE roles.node = variable)",
+    "existing": "(SELECT string_agg(head || ': ' || mechanism, chr(10) ORDER BY CASE effect WHEN variable THEN 0 ELSE 1 END, eo) FROM known WHERE variable IN (cause, effect))",
+}.items():
+    _PROMPT = f"replace({_PROMPT}, '{{{_name}}}', {_value})"
+
+
+@_query(
+    f"""WITH RECURSIVE {gaps_sql()}, {_TOLD}, {_CONTEXT}, best AS (SELECT * FROM told ORDER BY round(gap_score, 12) DESC, phase, node_ord, type_ord LIMIT 10)
+SELECT variable, gap_type, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM (SELECT variable, gap_type, {_PROMPT} AS prompt FROM best, context)"""
+)
+def hypothesis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of the ten best gaps, whole texts as digests."""
+    graph = _graph(spark, sf_dir)
+    best = G.detect_gaps(graph.dag, graph.nodes).orderBy("gap_key").limit(10)
+    rows = H.prompts(best, graph.dag, graph.claims)
+    return rows.select("gap.variable", "gap.gap_type", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
+
+
 _RAW_FIRST = "firsts AS (SELECT cause, effect, arg_min(mechanism, claim_seq) AS mechanism FROM (SELECT n_cause AS cause, n_effect AS effect, mechanism, claim_seq FROM claims) WHERE lower(mechanism) NOT LIKE '%not specified%' {more} GROUP BY 1, 2)"
 
 
@@ -302,56 +402,93 @@ def hypothesis_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "event_id")).cast("long"))
 
 
-@_query(
-    f"""WITH RECURSIVE {gaps_sql()}, best AS (SELECT * FROM gaps ORDER BY round(gap_score, 12) DESC, phase, node_ord, type_ord LIMIT 10),
+def _ranked(gaps: DataFrame, graph: KnowledgeGraph) -> DataFrame:
+    found, _ = H.generate(gaps, graph.dag, _clean(graph.claims), OfflineClient(), deterministic_ids=True)
+    return H.rank(found)
+
+
+_SCORED = f"""{gaps_sql()}, best AS (SELECT * FROM gaps ORDER BY round(gap_score, 12) DESC, phase, node_ord, type_ord LIMIT 10),
 asked AS (SELECT variable, gap_type, gap_score, (SELECT min(other) FROM roles WHERE roles.node = variable) AS near FROM best),
 answered AS (SELECT *, round(0.5 + length(variable) % 5 / 10, 2) AS t, round(0.4 + length(near) % 5 / 10, 2) AS n FROM asked),
-scored AS (SELECT 'H' || upper(substr(sha256(variable || '|' || gap_type), 1, 8)) AS id, variable, CASE gap_type WHEN 'MISSING_CAUSE' THEN near ELSE variable END AS predicted_cause,
-  CASE gap_type WHEN 'MISSING_CAUSE' THEN variable ELSE near END AS predicted_effect, round(0.4 * t + 0.4 * n + 0.2 * gap_score, 6) AS composite_score FROM answered)
-SELECT (row_number() OVER (ORDER BY composite_score DESC, id))::INTEGER AS rank, * FROM scored"""
-)
+scored AS (SELECT 'H' || upper(substr(sha256(variable || '|' || gap_type), 1, 8)) AS id, variable, near, t, n, CASE gap_type WHEN 'MISSING_CAUSE' THEN near ELSE variable END AS predicted_cause,
+  CASE gap_type WHEN 'MISSING_CAUSE' THEN variable ELSE near END AS predicted_effect, round(0.4 * t + 0.4 * n + 0.2 * gap_score, 6) AS composite_score FROM answered)"""
+
+
+@_query(f"WITH RECURSIVE {_SCORED} SELECT (row_number() OVER (ORDER BY composite_score DESC, id))::INTEGER AS rank, id, variable, predicted_cause, predicted_effect, composite_score FROM scored")
 def generate_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hypotheses of the offline client, ranked."""
     graph = _graph(spark, sf_dir)
     gaps = G.detect_gaps(graph.dag, graph.nodes)
-    found, _ = H.generate(gaps, graph.dag, _clean(graph.claims), OfflineClient(), deterministic_ids=True)
-    return H.rank(found).select("rank", "id", F.col("gap_addressed.variable").alias("variable"), "predicted_cause", "predicted_effect", F.round("composite_score", 6).alias("composite_score"))
+    return _ranked(gaps, graph).select("rank", "id", F.col("gap_addressed.variable").alias("variable"), "predicted_cause", "predicted_effect", F.round("composite_score", 6).alias("composite_score"))
 
 
 # sources and sinks
 
 
+def _write_texts(spark: SparkSession, texts: dict[str, str]) -> None:
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for name, content in texts.items():
+        where = path(name)
+        out = where.getFileSystem(conf).create(where, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+
+
 @_query("SELECT row_number() OVER (ORDER BY f) - 1 AS paper_ord, f AS source_paper, length(t) AS n_chars FROM (SELECT 'nation ' || lpad(n_nationkey::VARCHAR, 3, '0') || '.txt' AS f, n_name || ' is in region ' || n_regionkey AS t FROM nation)")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations written as text files, one each (there are as many as the table has, at any scale), and read back as a corpus."""
     folder = f"{Stages(spark, 'corpus').root}/papers"
-    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    for row in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
-        where = path(f"{folder}/nation {row.n_nationkey:03d}.txt")
-        out = where.getFileSystem(conf).create(where, True)
-        out.write(bytearray(f"  {row.n_name} is in region {row.n_regionkey}\n".encode()))
-        out.close()
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    _write_texts(spark, {f"{folder}/nation {row.n_nationkey:03d}.txt": f"  {row.n_name} is in region {row.n_regionkey}\n" for row in rows})
     return load_directory(spark, folder).select("paper_ord", "source_paper", F.length("content").cast("long").alias("n_chars"))
 
 
+@_query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS paper_ord, 'region_' || r_regionkey || '.md' AS source_paper, 'Region ' || r_name AS content FROM region")
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five regions as files named one by one."""
+    folder = f"{Stages(spark, 'files').root}/papers"
+    files = {f"{folder}/region_{row.r_regionkey}.md": f"\n Region {row.r_name} \r\n" for row in spark.read.parquet(f"{sf_dir}/region.parquet").collect()}
+    _write_texts(spark, files)
+    return load_files(spark, sorted(files, reverse=True))
+
+
+@_query("SELECT r_regionkey::BIGINT AS paper_ord, 'paper_' || (r_regionkey + 1) AS source_paper, r_name AS content FROM region UNION ALL SELECT r_regionkey::BIGINT, 'region ' || r_name, r_name FROM region")
+def texts_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five regions as texts in memory, without names and with them."""
+    names = [row.r_name for row in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
+    return from_texts(spark, names).unionByName(from_texts(spark, names, [f"region {n}" for n in names]))
+
+
+def _told_papers(claims: DataFrame, cue: Column) -> DataFrame:
+    """Papers with one paragraph a claim."""
+    sentence = F.concat(F.lit("It was shown in this study that, in most of the cases, "), F.col("cause"), cue, F.col("effect"), F.lit(" through "), F.lower("evidence"), F.lit("."))
+    return claims.groupBy("paper_ord", "source_paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", sentence.alias("s")))), lambda x: x["s"]), "\n\n").alias("content"))
+
+
 @_query(f"WITH {claims_sql()} SELECT source_paper, n_cause AS cause, n_effect AS effect, 0.85::DOUBLE AS confidence, arg_min(trim(lower(evidence)), claim_ord) AS mechanism FROM claims GROUP BY 1, 2, 3")
 def extract_from_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that the offline client finds in sentences made of the mapped claims."""
-    rows = merge.normalize_claims(_claims(spark, sf_dir))
-    sentence = F.concat(F.lit("It was shown in this study that, in most of the cases, "), F.col("cause"), F.lit(" leads to "), F.col("effect"), F.lit(" through "), F.lower("evidence"), F.lit("."))
-    papers = rows.groupBy("paper_ord", "source_paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", sentence.alias("s")))), lambda x: x["s"]), "\n\n").alias("content"))
+    papers = _told_papers(merge.normalize_claims(_claims(spark, sf_dir)), F.lit(" leads to "))
     claims, _ = extract_claims(papers, OfflineClient())
     return claims.select("source_paper", "cause", "effect", "confidence", "mechanism")
 
 
+@_query(f"WITH {claims_sql()} SELECT source_paper, n_cause AS cause, n_effect AS effect, 0.85::DOUBLE AS confidence FROM claims WHERE claim_ord % 2 = 0 GROUP BY 1, 2, 3")
+def extract_confident_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of 0.6 and above that the offline client finds where every other sentence is a guess of 0.5."""
+    cue = F.when(F.col("claim_ord") % 2 == 0, " leads to ").otherwise(" may cause ")
+    papers = _told_papers(merge.normalize_claims(_claims(spark, sf_dir)), cue)
+    claims, _ = extract_claims(papers, OfflineClient(), claim_min_confidence=0.6)
+    return claims.select("source_paper", "cause", "effect", "confidence")
+
+
 @_query(
     f"""WITH RECURSIVE {gaps_sql()}, parts AS (SELECT 'claims' AS part, count(*) AS n FROM claims UNION ALL SELECT 'edges', count(*) FROM fe UNION ALL SELECT 'gaps', count(*) FROM gaps UNION ALL SELECT 'nodes', count(*) FROM nord)
 SELECT part, n FROM parts WHERE n > 0"""
 )
 def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapped graph with its gaps as a JSON document, written, read and taken apart."""
-    graph = build_graph(_claims(spark, sf_dir), 0.0, min_papers(spark, sf_dir))
-    gaps = G.detect_gaps(graph.dag, graph.nodes)
+    graph, gaps = _full_graph(spark, sf_dir)
     path = f"{Stages(spark, 'document').root}/graph"
     write_document(graph.to_document(gaps), path)
     parts = tables(read_document(spark, path))
@@ -360,3 +497,37 @@ def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# reports
+
+
+def _full_graph(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeGraph, DataFrame]:
+    graph = build_graph(_claims(spark, sf_dir), 0.0, min_papers(spark, sf_dir))
+    return graph, G.detect_gaps(graph.dag, graph.nodes)
+
+
+@_query(f"WITH RECURSIVE {gaps_sql()} SELECT (SELECT count(DISTINCT source_paper) FROM claims) AS papers, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM nord) AS nodes, (SELECT count(*) FROM fe) AS edges, (SELECT count(*) FROM gaps) AS gaps, 0::BIGINT AS hypotheses")
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, gaps = _full_graph(spark, sf_dir)
+    rows = report.summary(graph.to_document(gaps))
+    return rows.select(*(F.col(c).cast("long").alias(c) for c in rows.columns))
+
+
+@_query(f"WITH RECURSIVE {gaps_sql()}, {_TOLD} SELECT row_number() OVER (ORDER BY round(gap_score, 12) DESC, phase, node_ord, type_ord) AS rank, variable, gap_type, printf('%.2f', gap_score) AS score, substr(gap_explanation, 1, 80) AS explanation FROM told QUALIFY rank <= 5")
+def gaps_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best gaps as a report shows them."""
+    graph, gaps = _full_graph(spark, sf_dir)
+    rows = report.gaps_report(graph.to_document(gaps), 5)
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_SCORED} SELECT id, variable, substr(near || ' and ' || variable || ' are linked by a factor that no paper has studied.', 1, 100) AS hypothesis,
+printf('%.2f', t) AS testability, printf('%.2f', n) AS novelty, substr('Measure ' || near || ' while ' || variable || ' is varied.', 1, 100) AS experiment FROM scored ORDER BY composite_score DESC, id LIMIT 5"""
+)
+def hypotheses_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five hypotheses of a document, in the order stored."""
+    graph, gaps = _full_graph(spark, sf_dir)
+    document = to_document(spark, gaps=gaps, hypotheses=_ranked(gaps, graph))
+    return report.hypotheses_report(document, 5)
