@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,8 +13,8 @@ from gapgraph.operators.merge import filter_edges, merge_claims, normalize_claim
 from gapgraph.sources.document import to_document
 from gapgraph.stages import Stages
 
-#: A graph of up to so many nodes (and so at most this number squared of narrow edges) is closed in one task.
-SMALL_NODES = 1500
+#: Cycles among up to so many edges are found in one task, in memory that follows their number.
+SMALL_EDGES = 500_000
 
 
 @dataclass
@@ -40,26 +41,75 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min("k").alias("node_key"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Removed edges of a graph that fits one task.
-
-    Edges are taken from the strongest down into a transitive closure; an edge closes a cycle of stronger
-    edges if its cause can already be reached from its effect.
+def _strong_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes one node of its strongly connected component, the same for all of them (Tarjan, without recursion)."""
+    order = np.argsort(u, kind="stable")
+    heads, ends = v[order].tolist(), np.searchsorted(u[order], np.arange(1, n + 1)).tolist()
+    at = [0, *ends[:-1]]
+    seen, low, label = [0] * n, [0] * n, [-1] * n
+    waiting: list[int] = []
+    clock = 0
+    for root in np.unique(u).tolist():
+        path = [] if seen[root] else [root]
+        while path:
+            x = path[-1]
+            if not seen[x]:
+                clock += 1
+                seen[x] = low[x] = clock
+                waiting.append(x)
+            if at[x] < ends[x]:
+                y = heads[at[x]]
+                at[x] += 1
+                if not seen[y]:
+                    path.append(y)
+                elif label[y] < 0:
+                    low[x] = min(low[x], seen[y])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[x])
+            if low[x] == seen[x]:
+                while label[x] < 0:
+                    label[waiting.pop()] = x
+    found = np.array(label, np.int64)
+    return np.where(found < 0, np.arange(n), found)
+
+
+def weakest_of_cycles(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which edges u -> v, given from the strongest to the weakest, are the weakest of a cycle.
+
+    An edge is if its ends are in one strong component of the edges down to itself. A span of ranks is
+    halved: edges whose ends the stronger half joins are decided in that half, all others in the weaker
+    one, between components instead of nodes. So each halving looks at each edge once.
     """
+    gone = np.zeros(len(u), bool)
+    spans = [(0, len(u) - 1, np.arange(len(u)), u, v)]
+    while spans:
+        low, high, edge, a, b = spans.pop()
+        if not (edge >= low).any():
+            continue
+        middle = (low + high) // 2
+        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = ends[: len(a)], ends[len(a) :]
+        strong = edge <= middle
+        label = _strong_components(len(names), a[strong], b[strong])
+        joined = label[a] == label[b]
+        if low == high:
+            gone[edge[joined & (edge == low)]] = True
+            continue
+        gone[edge[joined & ~strong]] = True
+        spans.append((low, middle, edge[joined & strong], a[joined & strong], b[joined & strong]))
+        spans.append((middle + 1, high, edge[~joined], label[a[~joined]], label[b[~joined]]))
+    return gone
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
+def _small(edges: DataFrame) -> DataFrame:
+    """Removed edges of a graph that fits one task."""
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["avg_confidence", "cause", "effect"], ascending=False)
-        place = {n: i for i, n in enumerate(pd.unique(pd.concat([pdf["cause"], pdf["effect"]])))}
-        reach = np.eye(len(place), dtype=bool)
-        gone = []
-        for cause, effect in zip(pdf["cause"], pdf["effect"], strict=True):
-            u, v = place[cause], place[effect]
-            gone.append(bool(reach[v, u]))
-            if not reach[u, v]:
-                reach |= reach[:, u][:, None] & reach[v][None, :]
-        return pdf[gone][["cause", "effect"]]
+        ends = pd.factorize(pd.concat([pdf["cause"], pdf["effect"]]))[0].astype(np.int64)
+        return pdf[weakest_of_cycles(ends[: len(pdf)], ends[len(pdf) :])][["cause", "effect"]]
 
     return edges.select("cause", "effect", "avg_confidence", F.lit(0).alias("graph")).groupBy("graph").applyInPandas(close, "cause string, effect string")
 
@@ -76,15 +126,19 @@ def _peel(edges: DataFrame, stages: Stages) -> DataFrame:
         edges = stages.write(edges, f"peel{k}")
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Removed edges by widest paths: an edge goes if a path back exists whose weakest edge is stronger than it.
+def _large(edges: DataFrame, small_edges: int) -> DataFrame:
+    """Removed edges of a graph of any size.
 
-    Paths double in length with each round, and each round is a written table.
+    What can't lie on a cycle is peeled off first; the core goes to one task if it is small enough. Else
+    widest paths decide: an edge goes if a path back exists whose weakest edge is stronger than it. Paths
+    double in length with each round, and each round is a written table.
     """
     stages = Stages(edges.sparkSession, "cycles")
     core = _peel(edges.select("cause", "effect", F.struct("avg_confidence", "cause", "effect").alias("rk")), stages)
     if core.isEmpty():
         return core.select("cause", "effect")
+    if _fits(core, small_edges):
+        return _small(core.select("cause", "effect", "rk.avg_confidence"))
     wide, size, k = stages.write(core.select(F.col("cause").alias("u"), F.col("effect").alias("v"), "rk"), "wide0"), None, 0
     while True:
         now = wide.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v", "rk"), F.lit(1 << 31)))).first()
@@ -99,15 +153,18 @@ def _large(edges: DataFrame) -> DataFrame:
     return core.join(back, ["cause", "effect"]).filter("back > rk").select("cause", "effect")
 
 
-def cycle_edges(edges: DataFrame, small_nodes: int = SMALL_NODES) -> DataFrame:
+def _fits(edges: DataFrame, small_edges: int) -> bool:
+    return edges.limit(small_edges + 1).count() <= small_edges
+
+
+def cycle_edges(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(cause, effect) of each edge that is the weakest of some simple cycle; ties by cause, then effect."""
-    nodes = edges.select(F.explode(F.array("cause", "effect")).alias("n")).distinct().limit(small_nodes + 1).count()
-    return _small(edges) if nodes <= small_nodes else _large(edges)
+    return _small(edges) if _fits(edges, small_edges) else _large(edges, small_edges)
 
 
-def remove_cycles(edges: DataFrame, small_nodes: int = SMALL_NODES) -> DataFrame:
+def remove_cycles(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """The edges that are the weakest of no cycle; what is left has no cycle. Nodes are not touched."""
-    return edges.join(cycle_edges(edges, small_nodes), ["cause", "effect"], "left_anti")
+    return edges.join(cycle_edges(edges, small_edges), ["cause", "effect"], "left_anti")
 
 
 def build_graph(claims: DataFrame, min_confidence: float = 0.5, min_papers: int = 1) -> KnowledgeGraph:

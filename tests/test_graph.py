@@ -1,12 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gapgraph.operators import gaps as G, merge
 from gapgraph.operators.claims import dedup_within_paper
-from gapgraph.operators.graph import build_graph, cycle_edges
+from gapgraph.operators.graph import build_graph, cycle_edges, weakest_of_cycles
 
 CLAIM = "claim_seq long, cause string, effect string, confidence double, mechanism string, source_paper string, evidence string"
 
@@ -81,6 +82,33 @@ def test_cycles_by_brute_force(spark):
                 assert {tuple(r) for r in cycle_edges(edges(spark, rows), small).collect()} == weakest(rows)
 
 
+def test_weakest_by_reachability():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        n, m = rng.integers(1, 12), rng.integers(0, 40)
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        reach, want = np.eye(n, dtype=bool), []
+        for a, b in zip(u, v, strict=True):
+            want.append(reach[b, a])
+            reach |= reach[:, a][:, None] & reach[b][None, :]
+        assert weakest_of_cycles(u, v).tolist() == want
+
+
+def test_weakest_of_long_and_many():
+    n = 50_000
+    ring = np.arange(n)
+    assert np.flatnonzero(weakest_of_cycles(ring, (ring + 1) % n)).tolist() == [n - 1]
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 40_000, 100_000), rng.integers(0, 40_000, 100_000)
+    gone = weakest_of_cycles(u, v)
+    assert gone.any() and not weakest_of_cycles(u[~gone], v[~gone]).any()
+
+
+def test_peeled_core_fits_a_task(spark):
+    rows = [("a", "b", 0.9, 1), ("b", "c", 0.8, 1), ("c", "a", 0.7, 1), ("c", "d", 0.2, 1), ("d", "e", 0.3, 1)]
+    assert [tuple(r) for r in cycle_edges(edges(spark, rows), 3).collect()] == [("c", "a")]
+
+
 GAPS = [
     ([("a", "b", 0.9, 1)], [("b", "MISSING_EFFECT", 0.372788, ["a"]), ("a", "ISOLATED_NODE", 0.312788, ["b"]), ("b", "ISOLATED_NODE", 0.312788, ["a"])]),
     (
