@@ -11,7 +11,7 @@ from gapgraph.operators import gaps as G, hypotheses as H, merge
 from gapgraph.operators.claims import dedup_within_paper, extract_claims
 from gapgraph.operators.completion import OfflineClient
 from gapgraph.operators.graph import KnowledgeGraph, build_graph, cycle_edges, graph_nodes
-from gapgraph.plans.mapping import claims_from_events, claims_sql, edges_sql, events, gaps_sql, graph_sql, min_papers
+from gapgraph.plans.mapping import MIN_PAPERS, claims_from_events, claims_sql, edges_sql, events, gaps_sql, graph_sql
 from gapgraph.schemas import validate
 from gapgraph.sources.corpus import from_table, from_texts, load_directory, load_files
 from gapgraph.sources.document import read_document, tables, to_document, write_document
@@ -38,7 +38,7 @@ def _claims(spark: SparkSession, sf_dir: str, base: int = 0) -> DataFrame:
 def _edges(spark: SparkSession, sf_dir: str, base: int = 0, min_confidence: float = 0.0) -> DataFrame:
     """The filtered edges without their texts."""
     counts = merge.merge_counts(merge.normalize_claims(_claims(spark, sf_dir, base)))
-    return merge.filter_edges(counts, min_confidence, min_papers(spark, sf_dir))
+    return merge.filter_edges(counts, min_confidence, MIN_PAPERS)
 
 
 def _graph(spark: SparkSession, sf_dir: str, base: int = 0, min_confidence: float = 0.0) -> KnowledgeGraph:
@@ -503,7 +503,7 @@ def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _full_graph(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeGraph, DataFrame]:
-    graph = build_graph(_claims(spark, sf_dir), 0.0, min_papers(spark, sf_dir))
+    graph = build_graph(_claims(spark, sf_dir), 0.0, MIN_PAPERS)
     return graph, G.detect_gaps(graph.dag, graph.nodes)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 VARIABLES = 40
+#: Papers that an edge of the mapped graph needs, at any scale.
+MIN_PAPERS = 3
 
 
 def _noisy(k: Column) -> Column:
@@ -42,11 +44,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def min_papers(spark: SparkSession, sf_dir: str) -> int:
-    """The paper threshold of the mapped graph: 2 and one more for each 1,000 events."""
-    return 2 + events(spark, sf_dir).count() // 1000
-
-
 def claims_sql(base: int = 0) -> str:
     """CTEs ev, lagged and claims (clean names n_cause, n_effect and cents beside the raw columns)."""
 
@@ -79,7 +76,7 @@ def graph_sql(base: int = 0, min_confidence: float = 0.0) -> str:
     return (
         edges_sql(base)
         + f""",
-fe AS (SELECT *, row_number() OVER (ORDER BY avg_confidence DESC, q) AS eo FROM edges WHERE avg_confidence >= {min_confidence} AND paper_count >= (SELECT 2 + count(*) // 1000 FROM events)),
+fe AS (SELECT *, row_number() OVER (ORDER BY avg_confidence DESC, q) AS eo FROM edges WHERE avg_confidence >= {min_confidence} AND paper_count >= {MIN_PAPERS}),
 k AS (SELECT cause AS u, effect AS v, row_number() OVER (ORDER BY avg_confidence, cause, effect) AS rk FROM fe),
 r(rk, tgt, node) AS (SELECT rk, u, v FROM k UNION SELECT r.rk, r.tgt, k.v FROM r JOIN k ON k.u = r.node AND k.rk > r.rk),
 gone AS (SELECT DISTINCT k.u, k.v FROM r JOIN k ON k.rk = r.rk WHERE r.node = r.tgt),
