@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapgraph.llm.common import compact, input_bytes, release
 
-#: Bytes of a chunk's texts; a longer text is a chunk of its own.
-CHUNK_CHARS = 2 << 20
+#: Bytes of a chunk's texts; a longer text is a chunk of its own. With more than 16,384 buckets chunks grow
+#: by CHARS_PER_BUCKET for each, so that a chunk has about 20 words for every bucket it writes to.
+CHUNK_CHARS, MAX_CHUNK_CHARS = 2 << 20, 64 << 20
+CHARS_PER_BUCKET = 128
 #: Chunks are shuffled once or more; a level above the lowest is worth its time.
 ZSTD_LEVEL = 4
 #: Bytes of input for each hash bucket, which a bucket's memory follows.
@@ -40,6 +42,11 @@ def bucket_count(docs: DataFrame) -> int:
     return 1 << (min(MAX_BUCKETS, max(MIN_BUCKETS, wanted)) - 1).bit_length()
 
 
+def chunk_size(buckets: int) -> int:
+    """Bytes of a chunk's texts where hashes go to so many buckets."""
+    return min(MAX_CHUNK_CHARS, max(CHUNK_CHARS, CHARS_PER_BUCKET * buckets))
+
+
 def work_parts(docs: DataFrame) -> int:
     """Tasks, and so files, of tables that grow with the input; those of ids alone take light_parts."""
     size = input_bytes(docs)
@@ -50,8 +57,12 @@ def light_parts(buckets: int) -> int:
     return max(3, buckets // 16)
 
 
-def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, others: list[str] | None = None) -> DataFrame:
-    """(chunk, content): each content is a compressed Arrow table (doc_id, text, x0, x1, ...) with the ``others`` columns last."""
+def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int | None = None, others: list[str] | None = None) -> DataFrame:
+    """(chunk, content): each content is a compressed Arrow table (doc_id, text, x0, x1, ...) with the ``others`` columns last.
+
+    Without ``chunk_chars`` the size of chunks follows that of the input.
+    """
+    most = chunk_chars or chunk_size(bucket_count(docs))
     more = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others or [])]
     rows = compact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more))
 
@@ -71,7 +82,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int =
             sizes = [n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()]
             start = 0
             for i, n in enumerate(sizes):
-                if held and held + n > chunk_chars:
+                if held and held + n > most:
                     if i > start:
                         parts.append(batch.slice(start, i - start))
                     yield row()

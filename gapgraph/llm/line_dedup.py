@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
+from gapgraph.llm.chunks import ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages, release
 from gapgraph.llm.hashing import U, grams, minhash, mix
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
@@ -184,7 +184,7 @@ class _Lines:
         return pa.RecordBatch.from_arrays(columns, names=["row", "line", "doc_id", "item", "content", "marks", "groups"])
 
 
-def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: float, shingle: int, bands: int, rows: int, chunk_chars: int):
+def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: float, shingle: int, bands: int, rows: int, chunk_chars: int | None):
     """(lines, chunks, nodes, kept): nodes have a row per line, kept (item, place) the line that stays for each named item."""
     stages = Stages(docs.sparkSession, "line-dedup")
     lines = _Lines(shingle, bands, rows, bucket_count(docs))
@@ -205,7 +205,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, others, threshold: f
     return lines, chunks, nodes, stages.write(labelled.select("item", "label").join(best, "label").select("item", "place"), "kept", some)
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int | None = None) -> DataFrame:
     """doc_id, line_no, class_doc, class_line, kept of every line that is not blank.
 
     Lines (split at \\n, runs of white space made one space) are linked if the Jaccard similarity of
@@ -227,7 +227,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(named.coalesce(work_parts(docs)))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_CHARS, bands: int = BANDS, rows: int = BAND_ROWS, chunk_chars: int | None = None) -> DataFrame:
     """``docs`` with all columns, each component's lines but one taken out of the texts.
 
     A document that lost lines and has no word left goes; others, null texts included, stay. Repeated

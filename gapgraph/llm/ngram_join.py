@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
+from gapgraph.llm.chunks import ask, bucket_count, by_bucket, each_chunk, groups_of, light_parts, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages, release, slices
 from gapgraph.llm.hashing import U, Powers, Words, minhash, mix, windows
 from gapgraph.llm.near import WORK_TABLES, components, link_groups
@@ -293,7 +293,7 @@ def _forest(docs: DataFrame, threshold: float, trees: int, labels: int, target:
     return forest
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int | None = None) -> DataFrame:
     """doc_id, class_id, n_links of each row.
 
     Two documents are linked if the Jaccard similarity of their sets of ``shingle`` words (unchanged,
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return nodes.select("doc_id", "item").join(classes, "item").select("doc_id", "class_id", "n_links").coalesce(work_parts(docs))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, trees: int = TREES, labels: int = LABELS, target: float = TARGET_RECALL, chunk_chars: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: one row of the smallest id stays in each class.
 
     Of rows with that id the first read stays, so repeated rows leave one; texts without a word, null ones

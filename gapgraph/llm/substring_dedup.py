@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gapgraph.llm.chunks import CHUNK_CHARS, ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies, work_parts
+from gapgraph.llm.chunks import ask, bucket_count, by_bucket, each_chunk, groups_of, make_chunks, with_replies, work_parts
 from gapgraph.llm.common import Stages
 from gapgraph.llm.hashing import Powers, Words, windows
 
@@ -220,7 +220,7 @@ class _Dedup:
         return out
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, s: int, chunk_chars: int):
+def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, s: int, chunk_chars: int | None):
     stages = Stages(docs.sparkSession, "substrings")
     run = _Dedup(k, s, bucket_count(docs))
     chunks = stages.write(make_chunks(docs, id_col, text_col, chunk_chars), "chunks")
@@ -230,7 +230,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, s: int, chunk_
     return run, with_replies(chunks, seeds, edges, paths)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDGE_WORDS, s: int = SEED_WORDS, chunk_chars: int = CHUNK_CHARS, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDGE_WORDS, s: int = SEED_WORDS, chunk_chars: int | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row without the words that repeat a smaller document.
 
     Words (between ASCII white space) are vertices' letters, each k in a row an edge of a de Bruijn

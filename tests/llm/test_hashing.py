@@ -2,6 +2,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from gapgraph.llm import hashing, near
+from gapgraph.llm.chunks import CHUNK_CHARS, MAX_CHUNK_CHARS, chunk_size
 
 POWERS = hashing.Powers()
 
@@ -43,3 +44,9 @@ def test_minhash(sets, block):
 def test_common(sets):
     got = near._common([np.array(sorted(s), np.uint64) for s in sets])
     assert got.tolist() == [[len(a & b) for b in sets] for a in sets]
+
+
+def test_chunks_follow_buckets():
+    sizes = [chunk_size(1 << k) for k in range(6, 21)]
+    assert sizes == sorted(sizes) and set(sizes[:9]) == {CHUNK_CHARS} and sizes[-1] == MAX_CHUNK_CHARS
+    assert chunk_size(1 << 18) == 32 << 20
