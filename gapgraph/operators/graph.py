@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gapgraph.operators.merge import filter_edges, merge_claims, normalize_claims
-from gapgraph.sources.document import to_document
+from gapgraph.sources.document import to_document, write_parts
 from gapgraph.stages import Stages
 
 #: Cycles among up to so many edges are found in one task, in memory that follows their number.
@@ -29,10 +29,18 @@ class KnowledgeGraph:
     def papers_analyzed(self) -> int:
         return self.claims.agg(F.count_distinct("source_paper")).first()[0]
 
+    def _head(self) -> tuple[int, str]:
+        return self.papers_analyzed(), datetime.now(timezone.utc).isoformat()
+
+    def _ordered_nodes(self) -> DataFrame:
+        return self.nodes.select("node", F.col("node_key").alias("ord"))
+
     def to_document(self, gaps: DataFrame | None = None, hypotheses: DataFrame | None = None, model_used: str = "unknown") -> DataFrame:
-        nodes = self.nodes.select("node", F.col("node_key").alias("ord"))
-        now = datetime.now(timezone.utc).isoformat()
-        return to_document(self.edges.sparkSession, nodes, self.edges, self.claims, gaps, hypotheses, self.papers_analyzed(), now, model_used)
+        return to_document(self.edges.sparkSession, self._ordered_nodes(), self.edges, self.claims, gaps, hypotheses, *self._head(), model_used)
+
+    def write_parts(self, path: str, gaps: DataFrame | None = None, hypotheses: DataFrame | None = None, model_used: str = "unknown") -> None:
+        """The graph's document in parts: for one that is too large for a row."""
+        write_parts(self.edges.sparkSession, path, *self._head(), model_used, nodes=self._ordered_nodes(), edges=self.edges, claims=self.claims, gaps=gaps, hypotheses=hypotheses)
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:

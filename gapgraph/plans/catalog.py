@@ -14,7 +14,7 @@ from gapgraph.operators.graph import KnowledgeGraph, build_graph, cycle_edges, g
 from gapgraph.plans.mapping import MIN_PAPERS, claims_from_events, claims_sql, edges_sql, events, gaps_sql, graph_sql
 from gapgraph.schemas import validate
 from gapgraph.sources.corpus import from_table, from_texts, load_directory, load_files
-from gapgraph.sources.document import read_document, tables, to_document, write_document
+from gapgraph.sources.document import read_parts, to_document
 from gapgraph.stages import Stages
 
 QUERIES: dict = {}
@@ -487,11 +487,11 @@ def extract_confident_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT part, n FROM parts WHERE n > 0"""
 )
 def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapped graph with its gaps as a JSON document, written, read and taken apart."""
+    """The mapped graph with its gaps as a JSON document in parts, written, read and taken apart."""
     graph, gaps = _full_graph(spark, sf_dir)
     path = f"{Stages(spark, 'document').root}/graph"
-    write_document(graph.to_document(gaps), path)
-    parts = tables(read_document(spark, path))
+    graph.write_parts(path, gaps)
+    parts = read_parts(spark, path)
     rows = [df.select(F.lit(name).alias("part"), F.col("ord").cast("long").alias("ord")) for name, df in sorted(parts.items())]
     out = rows[0]
     for r in rows[1:]:

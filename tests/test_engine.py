@@ -11,7 +11,7 @@ from gapgraph.operators.completion import OfflineClient, attempt, messages
 from gapgraph.operators.graph import build_graph
 from gapgraph.schemas import validate
 from gapgraph.sources.corpus import from_texts, load_any, load_directory, load_files
-from gapgraph.sources.document import read_document, tables, write_document
+from gapgraph.sources.document import read_document, read_head, read_parts, tables, write_document, write_parts
 
 PAD = " This sentence is here to make the paragraph long enough to be kept by the splitter."
 TEXTS = [f"Smoke causes lung inflammation through oxidative stress.{PAD}\n\nSmoke triggers cough.{PAD}", f"Lung inflammation leads to fibrosis.{PAD}"]
@@ -130,3 +130,49 @@ def test_document_is_json(spark, tmp_path):
     data = json.loads(raw)
     assert data["gaps"] == [] and len(data["edges"]) == 3 and data["model_used"] == "unknown"
     assert spark.read.json(str(tmp_path / "d"), multiLine=True).select(F.size("nodes")).first()[0] == 4
+
+
+def joined(path):
+    files = [p for p in path.rglob("*") if p.is_file() and p.name[0] not in "._"]
+    return "".join(p.read_text() for p in sorted(files, key=str))
+
+
+def test_document_in_parts(spark, tmp_path):
+    """No file or task has to hold an array: files are parts of one JSON object, read back in order."""
+    n = 20_000
+    text = F.concat(F.lit(', "x"\n[{é'), F.col("id").cast("string"))
+    claims = spark.range(n).repartition(3).select((n - F.col("id")).alias("claim_seq"), text.alias("cause"), F.lit("b").alias("effect"), (F.col("id") / n).alias("confidence"), F.lit(None).cast("string").alias("mechanism"), F.lit("").alias("source_paper"), text.alias("evidence"))
+    nodes = spark.createDataFrame([(",z", 0), ("y", 1), (None, 2)], "node string, ord int")
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "128k"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        write_parts(spark, str(tmp_path / "d"), 2, "now", nodes=nodes, claims=claims, gaps=claims.limit(0).select(F.lit("").alias("variable"), F.lit("").alias("gap_type"), F.lit(0.0).alias("gap_score"), F.array().cast("array<string>").alias("neighboring_nodes"), F.array().cast("array<string>").alias("existing_edges"), F.lit("").alias("gap_explanation"), F.col("claim_seq").alias("gap_key")))
+        parts = {k: v.orderBy("ord").collect() for k, v in read_parts(spark, str(tmp_path / "d")).items()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "d/3-claims-1").glob("part-*"))) > 1
+    data = json.loads(joined(tmp_path / "d"))
+    assert (data["papers_analyzed"], data["created_at"], data["model_used"]) == tuple(read_head(spark, str(tmp_path / "d")).first()) == (2, "now", "unknown")
+    assert data["nodes"] == [r.node for r in parts["nodes"]] == [",z", "y", None]
+    assert data["edges"] == data["gaps"] == data["hypotheses"] == [] and not (parts["edges"] or parts["gaps"] or parts["hypotheses"])
+    assert [r.ord for r in parts["claims"]] == list(range(n))
+    assert [{k: v for k, v in r.asDict().items() if k != "ord"} for r in parts["claims"]] == data["claims"]
+    assert [c["cause"] for c in data["claims"]] == [f', "x"\n[{{é{n - 1 - i}' for i in range(n)]
+    with pytest.raises(ValueError):
+        write_parts(spark, str(tmp_path / "e"), claim=claims)
+    broken = next((tmp_path / "d/1-nodes-1").glob("part-*"))
+    (broken.parent / f".{broken.name}.crc").unlink()
+    broken.write_text(broken.read_text() + ',"cut')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_parts(spark, str(tmp_path / "d"))
+
+
+def test_document_of_a_graph_in_parts(spark, tmp_path):
+    graph = build_graph(extract_claims(from_texts(spark, TEXTS), OfflineClient())[0])
+    gaps = G.detect_gaps(graph.dag, graph.nodes)
+    graph.write_parts(str(tmp_path / "d"), gaps)
+    data, row = json.loads(joined(tmp_path / "d")), graph.to_document(gaps).first().asDict(recursive=True)
+    assert {k: v for k, v in data.items() if k != "created_at"} == {k: v for k, v in row.items() if k != "created_at"}
