@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 import zlib
-from bisect import bisect_left
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,7 +22,7 @@ HOST_SHARE = 0.3
 UNLIKE_SHARE = 0.3
 #: The part of a host's varying text that must stand in marked articles (or main elements) for the marks to be believed.
 MARKED_SHARE = 0.5
-#: Pairs of children that are all compared; larger pairs of elements are aligned by label and rank.
+#: Cells of a table of two lists of children that are held at once; the result doesn't depend on it.
 FULL_PAIRS = 250_000
 #: Decisions are broadcast up to this size in all; beyond it they are joined by host and shape.
 BROADCAST_BYTES = 8 << 20
@@ -229,13 +230,25 @@ def fold(dom: Dom) -> tuple[Tree, list[int]]:
 
 
 class Aligner:
-    """Simple tree matching: the largest match of two trees that keeps order and ancestors, each pair of unlike subtrees measured once."""
+    """Simple tree matching: the largest match of two trees that keeps order and ancestors, each pair of unlike subtrees measured once.
+
+    All pairs of children count, however many there are: a row of their table is one pass over an array, and
+    of a table of more than ``full_pairs`` cells only some rows are held, from which the others are worked out again.
+    """
 
     def __init__(self, full_pairs: int = FULL_PAIRS):
         self.full_pairs = full_pairs
+        self._clear()
+
+    def _clear(self) -> None:
         self.kinds: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.names: list[frozenset[str]] = []
         self.size: list[int] = []
-        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        self.known: dict[int, dict[int, int]] = {}
+        self.paired: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.held = 0
 
     def _kinds(self, tree: Tree) -> list[int]:
         """The number of each node's subtree; equal subtrees have one."""
@@ -245,18 +258,21 @@ class Aligner:
             if key not in self.kinds:
                 self.kinds[key] = len(self.size)
                 self.size.append(1 + sum(self.size[k] for k in key[1]))
+                self.label.append(key[0])
+                self.below.append(key[1])
+                self.names.append(frozenset(self.label[k] for k in key[1]))
             kind[i] = self.kinds[key]
         return kind
 
     def match(self, a: Tree, b: Tree) -> list[int]:
         """For each node of ``a`` the node of ``b`` that it is matched with, or -1."""
-        if len(self.known) > 100_000:
-            self.kinds, self.size, self.known = {}, [], {}
+        if self.held > 100_000 or len(self.size) > 1_000_000:
+            self._clear()
         ka, kb = self._kinds(a), self._kinds(b)
         out = [-1] * len(a.labels)
         if a.labels[0] != b.labels[0]:
             return out
-        self._measure(a, b, ka, kb)
+        self._measure(ka[0], kb[0])
         stack = [(0, 0)]
         while stack:
             x, y = stack.pop()
@@ -265,91 +281,123 @@ class Aligner:
             if ka[x] == kb[y]:
                 stack += zip(cx, cy, strict=True)
             else:
-                stack += [(cx[i], cy[j]) for i, j in self.known[ka[x], kb[y]][1]]
+                stack += [(cx[i], cy[j]) for i, j in self._pairs(ka[x], kb[y])]
         return out
 
     def score(self, a: Tree, b: Tree) -> int:
         """The number of matched nodes."""
         return sum(y >= 0 for y in self.match(a, b))
 
-    def _measure(self, a: Tree, b: Tree, ka: list[int], kb: list[int]) -> None:
-        stack = [(0, 0)]
+    def _gain(self, p: int, q: int) -> int | None:
+        """The size of the largest match of two subtrees with one label; None if it is not measured yet."""
+        if p == q:
+            return self.size[p]
+        if self.names[p].isdisjoint(self.names[q]):
+            return 1
+        return self.known.get(p, {}).get(q)
+
+    def _measure(self, p: int, q: int) -> None:
+        stack = [self._steps(p, q)]
         while stack:
-            x, y = stack[-1]
-            key = ka[x], kb[y]
-            if key[0] == key[1] or key in self.known:
+            first = next(stack[-1], None)
+            if first is None:
                 stack.pop()
-                continue
-            cx, cy = a.children[x], b.children[y]
-            low, n, m = 0, len(cx), len(cy)
-            # equal subtrees at either end are best matched with each other
-            while low < min(n, m) and ka[cx[low]] == kb[cy[low]]:
-                low += 1
-            while n > low and m > low and ka[cx[n - 1]] == kb[cy[m - 1]]:
-                n, m = n - 1, m - 1
-            full = (n - low) * (m - low) <= self.full_pairs
-            if full:
-                wanted = [(i, j) for i in range(low, n) for j in range(low, m) if a.labels[cx[i]] == b.labels[cy[j]]]
             else:
-                wanted = _by_rank([a.labels[c] for c in cx[low:n]], [b.labels[c] for c in cy[low:m]], low)
-            open_ = {(cx[i], cy[j]) for i, j in wanted if ka[cx[i]] != kb[cy[j]] and (ka[cx[i]], kb[cy[j]]) not in self.known}
-            if open_:
-                stack += open_
-                continue
-            gain = {(i, j): self.size[ka[cx[i]]] if ka[cx[i]] == kb[cy[j]] else self.known[ka[cx[i]], kb[cy[j]]][0] for i, j in wanted}
-            pairs = [(i, i) for i in range(low)] + (_best(low, n, m, gain) if full else wanted) + [(n + k, m + k) for k in range(len(cx) - n)]
-            stack.pop()
-            self.known[key] = 1 + sum(gain.get(p) or self.size[ka[cx[p[0]]]] for p in pairs), pairs
-
-
-def _best(low: int, n: int, m: int, gain: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
-    """The order-keeping pairs with the largest sum of gains."""
-    best = [[0] * (m - low + 1) for _ in range(n - low + 1)]
-    for i in range(low, n):
-        row, above = best[i - low + 1], best[i - low]
-        for j in range(low, m):
-            row[j - low + 1] = max(row[j - low], above[j - low + 1], above[j - low] + gain.get((i, j), 0))
-    pairs, i, j = [], n, m
-    while i > low and j > low:
-        g = gain.get((i - 1, j - 1), 0)
-        if g and best[i - low][j - low] == best[i - low - 1][j - low - 1] + g:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif best[i - low][j - low] == best[i - low - 1][j - low]:
-            i -= 1
-        else:
-            j -= 1
-    return pairs[::-1]
-
-
-def _by_rank(a: list[str], b: list[str], low: int) -> list[tuple[int, int]]:
-    """The longest order-keeping pairs of children with equal label and rank, in n log n."""
-    place: dict[tuple[str, int], int] = {}
-    rank: dict[str, int] = {}
-    for j, label in enumerate(b):
-        rank[label] = rank.get(label, -1) + 1
-        place[label, rank[label]] = j
-    rank.clear()
-    tails: list[int] = []
-    last: list[int] = []
-    chain: list[tuple[int, int, int]] = []  # i, j, the pair before
-    for i, label in enumerate(a):
-        rank[label] = rank.get(label, -1) + 1
-        j = place.get((label, rank[label]))
-        if j is None:
-            continue
-        k = bisect_left(tails, j)
-        chain.append((i, j, last[k - 1] if k else -1))
-        if k == len(tails):
-            tails.append(j)
-            last.append(len(chain) - 1)
-        else:
-            tails[k], last[k] = j, len(chain) - 1
-    pairs, at = [], last[-1] if last else -1
-    while at >= 0:
-        i, j, at = chain[at]
-        pairs.append((i + low, j + low))
-    return pairs[::-1]
+                stack.append(self._steps(*first))
+
+    def _steps(self, p: int, q: int):
+        """Yields the pairs of subtrees to be measured before this one, then measures it."""
+        if self._gain(p, q) is not None:
+            return
+        low, n, m = self._ends(p, q)
+        a, table = self.below[p][low:n], Table(self, self.below[q][low:m])
+        for x in dict.fromkeys(a):
+            for y in table.of_label.get(self.label[x], ()):
+                if self._gain(x, y) is None:
+                    yield x, y
+        row = table.start()
+        for x in a:
+            row = table.row(row, x)
+        ends = sum(self.size[k] for k in self.below[p][:low]) + sum(self.size[k] for k in self.below[p][n:])
+        self.known.setdefault(p, {})[q] = 1 + ends + int(row[-1])
+        self.held += 1
+
+    def _ends(self, p: int, q: int) -> tuple[int, int, int]:
+        """Equal subtrees at either end are best matched with each other: where they end, and where they begin again in either list."""
+        a, b = self.below[p], self.below[q]
+        low, n, m = 0, len(a), len(b)
+        while low < min(n, m) and a[low] == b[low]:
+            low += 1
+        while n > low and m > low and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+        return low, n, m
+
+    def _pairs(self, p: int, q: int) -> list[tuple[int, int]]:
+        """The order-keeping pairs of children with the largest sum of gains."""
+        if (p, q) not in self.paired:
+            low, n, m = self._ends(p, q)
+            inner = self._best(self.below[p][low:n], self.below[q][low:m])
+            self.paired[p, q] = [(i, i) for i in range(low)] + [(i + low, j + low) for i, j in inner] + [(n + k, m + k) for k in range(len(self.below[p]) - n)]
+            self.held += len(self.paired[p, q])
+        return self.paired[p, q]
+
+    def _best(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        table, i, j = Table(self, b), len(a), len(b)
+        step = max(math.isqrt(i) + 1, self.full_pairs // (j + 1))
+        held = [table.start()]
+        for k in range(step, i, step):
+            row = held[-1]
+            for x in a[k - step : k]:
+                row = table.row(row, x)
+            held.append(row)
+        pairs = []
+        while i and j:
+            low = (i - 1) // step * step
+            rows = [held[low // step][: j + 1]]
+            for x in a[low:i]:
+                rows.append(table.row(rows[-1], x))
+            while i > low and j:
+                x, y = a[i - 1], b[j - 1]
+                here, above = rows[i - low], rows[i - low - 1]
+                if self.label[x] == self.label[y] and here[j] == above[j - 1] + self._gain(x, y):
+                    i, j = i - 1, j - 1
+                    pairs.append((i, j))
+                elif here[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return pairs[::-1]
+
+
+class Table:
+    """The rows of the table of two lists of subtrees: the largest sum of gains of order-keeping pairs, for each length of the second list."""
+
+    def __init__(self, aligner: Aligner, b: tuple[int, ...]):
+        self.aligner = aligner
+        self.place = {y: k for k, y in enumerate(dict.fromkeys(b))}
+        self.at = np.array([self.place[y] for y in b], np.int64)
+        self.of_label: dict[str, list[int]] = {}
+        for y in self.place:
+            self.of_label.setdefault(aligner.label[y], []).append(y)
+        self.gains: dict[int, np.ndarray] = {}
+
+    def start(self) -> np.ndarray:
+        return np.zeros(len(self.at) + 1, np.int32)
+
+    def row(self, above: np.ndarray, x: int) -> np.ndarray:
+        """The row below another, for one more subtree of the first list; as long as the other."""
+        others = self.of_label.get(self.aligner.label[x])
+        if others is None:
+            return above
+        if x not in self.gains:
+            gain = np.zeros(len(self.place), np.int32)
+            for y in others:
+                gain[self.place[y]] = self.aligner._gain(x, y)
+            self.gains[x] = gain
+        out = np.empty_like(above)
+        out[0] = 0
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + self.gains[x][self.at[: len(above) - 1]]), out=out[1:])
+        return out
 
 
 def _names(tree: Tree) -> list[int]:

@@ -189,6 +189,27 @@ def test_tree_matching_by_brute_force():
     assert html_extract.Tree.read(x.write()).parents == x.parents
 
 
+def test_tree_matching_of_wide_elements():
+    """Children are aligned by one rule, however many there are and however few rows of their table are held."""
+    rng = random.Random(8)
+    for n in (40, 700):
+        a, b = [rng.choice("abcd") for _ in range(n)], [rng.choice("abcd") for _ in range(n)]
+        row = [0] * (n + 1)
+        for p in a:
+            above, row = row, [0]
+            for j, q in enumerate(b):
+                row.append(above[j] + 1 if p == q else max(above[j + 1], row[j]))
+        x, y = tree(("r", *((c,) for c in a))), tree(("r", *((c,) for c in b)))
+        found = [html_extract.Aligner(full_pairs=k).match(x, y) for k in (0, 5000, 1 << 40)]
+        assert found[0] == found[1] == found[2] == html_extract.Aligner().match(x, y)
+        used = [m for m in found[0] if m >= 0]
+        assert len(used) == 1 + row[-1] and used == sorted(set(used))
+    for _ in range(100):
+        a, b = (("r", *((rng.choice("ab"), *((rng.choice("ab"),) for _ in range(rng.randrange(3)))) for _ in range(5))) for _ in range(2))
+        matched = html_extract.Aligner(full_pairs=0).match(tree(a), tree(b))
+        assert sum(m >= 0 for m in matched) == largest(a, b)
+
+
 def archive(spark, rows, **how):
     path = f"{Stages(spark, 'w').root}/a"
     warc.write_archives(pages(spark, rows), path, **how)
